@@ -60,3 +60,21 @@ def crc_mod(key: str, n: int):
 
 def crc_mod_py(key: int, n: int) -> int:
     return zlib.crc32(str(key).encode()) % n
+
+
+class Recent(dict):
+    """What `make` gives for a key, remembered: of two generations of at most `most` keys the older one goes."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

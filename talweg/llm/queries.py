@@ -1,10 +1,12 @@
 """The queries opN_<name> of this subpackage, and their oracles in DuckDB's SQL where there are any."""
 
+from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
 from talweg.llm.media import op7_media
 from talweg.llm.secrets import op4_secrets
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_media": op7_media,

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import arrow_map, id_and_text, table
+from talweg.llm.common import arrow_map, id_and_text, keep_rows, table
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -140,32 +141,22 @@ def decontamination_digest(found: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, whole, without the contaminated ones: the verdict column is carried by the row itself, so rows are neither joined nor reordered."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].cast("string").alias("text"))
-    out = packed.select(F.coalesce("text", F.lit("")).alias("text"), "row")
-    sets = window_sets(benchmark)
-    held = [docs.sparkSession.sparkContext.broadcast(s) for s in sets]
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bad = []
-        for text in batch.column(0).to_pylist():
-            w = words(text)
-            hit = np.zeros(len(w), bool)
-            for s in held:
-                hit |= s.value.scan(w)[0]
-            n = int(hit.sum())
-            bad.append(n > 0 and 20 * n >= len(w))
-        keep = pa.array([not x for x in bad])
-        return pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(keep)
-
-    return arrow_map(out, each, f"row {docs.schema.simpleString()}").select(*[F.col("row")[c].alias(c) for c in names])
+    """The rows of `docs`, whole, without the contaminated ones."""
+    held = [docs.sparkSession.sparkContext.broadcast(s) for s in window_sets(benchmark)]
+
+    def clean(text: str) -> bool:
+        w = words(text)
+        hit = np.zeros(len(w), bool)
+        for s in held:
+            hit |= s.value.scan(w)[0]
+        n = int(hit.sum())
+        return n == 0 or 20 * n < len(w)
+
+    return keep_rows(docs, lambda texts: list(map(clean, texts)))
 
 
 def cut_spans(text: str, spans: list[int]) -> str:
     """`text` without its words of the given word spans (and what stands between them)."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
     out, done = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):

@@ -3,14 +3,18 @@
 from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
 from talweg.llm.media import op7_media
+from talweg.llm.quality import op5_quality
 from talweg.llm.secrets import op4_secrets
 from talweg.llm.tokenfiles import op8_tokenfiles
+from talweg.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_media": op7_media,
     "op8_tokenfiles": op8_tokenfiles,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -146,7 +146,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["text", "row"])
 
     packed = docs.select(docs["text"].cast("string").alias("text"), F.struct(*[docs[c] for c in names if c != "text"], F.lit(1).alias("_one")).alias("row"))
-    done = arrow_map(packed, each, f"text string, row {packed.schema['row'].dataType.simpleString()}")
+    done = arrow_map(packed, each, packed.schema)
     return done.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in names])
 
 

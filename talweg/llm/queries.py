@@ -7,6 +7,8 @@ from talweg.llm.quality import op5_quality
 from talweg.llm.secrets import op4_secrets
 from talweg.llm.tokenfiles import op8_tokenfiles
 from talweg.llm.toxicity import op9_toxicity
+from talweg.llm.urls import op10_urls
+from talweg.llm.urls import oracle as urls_oracle
 
 QUERIES = {
     "op2_bpe": op2_bpe,
@@ -16,5 +18,6 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_tokenfiles": op8_tokenfiles,
     "op9_toxicity": op9_toxicity,
+    "op10_urls": op10_urls,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_urls": urls_oracle()}

@@ -17,7 +17,6 @@ generations of at most 2 * `MEMORY` pieces and `MEMORY` chunks, each of up to 64
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from array import array
 
@@ -26,6 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talweg.llm.common import Recent, arrow_map, id_and_text, table
 
@@ -252,17 +252,24 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return arrow_map(tokens, each, "doc_id long, ids binary, decoded binary")
 
 
-def token_digest(decoded: DataFrame) -> DataFrame:
-    """Number and digest of the tokens, digest of what they decode to."""
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded: encode() and decode() of it in one pass, with one set of workers and one memory of pieces."""
+    path = path or public_tokenizers.path(VOCABULARY)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, back = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), sha(ids), sha(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e = encoder(path)
+        ids = [e.encode(t) for t in batch.column(1).to_pylist()]
+        back = [e.decode(np.frombuffer(x, "<u4")) for x in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return arrow_map(decoded, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(id_and_text(docs), each, "doc_id long, ids binary, decoded binary")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again."""
-    return token_digest(decode(encode(table(spark, sf_dir, "documents"))))
+    """Every document encoded and decoded again; number and digests of both."""
+    return round_trip(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -39,12 +39,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch; what it returns None for is left out."""
+    """mapInArrow with a function of one batch of at most 1024 rows; what it returns None for is left out."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, 1024):
+                if (out := each(batch.slice(at, 1024))) is not None:
+                    yield out
 
     return df.mapInArrow(over, schema)
 

@@ -3,6 +3,7 @@
 from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
 from talweg.llm.media import op7_media
+from talweg.llm.neardup import op1_neardup
 from talweg.llm.quality import op5_quality
 from talweg.llm.secrets import op4_secrets
 from talweg.llm.tokenfiles import op8_tokenfiles
@@ -11,6 +12,7 @@ from talweg.llm.urls import op10_urls
 from talweg.llm.urls import oracle as urls_oracle
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,

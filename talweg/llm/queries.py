@@ -2,6 +2,7 @@
 
 from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
+from talweg.llm.licenses import op3_licenses
 from talweg.llm.media import op7_media
 from talweg.llm.neardup import op1_neardup
 from talweg.llm.quality import op5_quality
@@ -14,6 +15,7 @@ from talweg.llm.urls import oracle as urls_oracle
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
+    "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,

@@ -30,23 +30,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import Recent, id_and_text, table, work_dir, written
+from talweg.llm.common import id_and_text, table, work_dir, written
 
-VOCABULARY, END_ID, MEMORY = "word_bpe_49k.json", 1, 250_000
+VOCABULARY, END_ID, MEMORY = "word_bpe_49k.json", 1, 400_000
 
 
 class WordEncoder:
-    """The ids of a text as flat bytes of `dtype`."""
+    """Texts to flat bytes of `dtype`, with a bounded memory of words.
+
+    New words of letters alone are encoded many at a time, parted by spaces, and told apart by the tokens that end a
+    word; a word of letters with one full stop or comma after it is two matches of the tokenizer's split, so two
+    entries together; all else is encoded by itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Recent(lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes(), MEMORY)
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.known, self.old = {}, {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        known, old = self.known, self.old
+        words, stops, others = set(), [], []
+        for x in new:
+            if x in old:
+                known[x] = old[x]
+            elif x.isalpha():
+                words.add(x)
+            elif x[:-1].isalpha() and x[-1] in ".,":
+                stops.append(x)
+                if x[:-1] not in known:
+                    words.add(x[:-1])
+            else:
+                others.append(x)
+        others += [mark for mark in {x[-1] for x in stops} if mark not in known]
+        todo = list(words)
+        for at in range(0, len(todo), 128):
+            some = todo[at : at + 128]
+            ids = self._ids([" ".join(some)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw, w = ids.tobytes(), self.dtype.itemsize
+                known |= {x: raw[a * w : b * w] for x, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist(), strict=False)}
+            else:
+                others += some
+        known |= {x: ids.tobytes() for x, ids in zip(others, self._ids(others), strict=True)}
+        for x in stops:
+            known[x] = known[x[:-1]] + known[x[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 256):
+            if len(self.known) > MEMORY:
+                self.old, self.known = self.known, {}
+            split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            known = self.known
+            if new := [x for x in set().union(*split) if x not in known]:
+                self._learn(new)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -72,10 +122,10 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str | None = None, en
         with fs.open_output_stream(f"{root}/{name}.bin") as ids, fs.open_output_stream(f"{root}/{name}.off") as off, fs.open_output_stream(f"{root}/{name}.doc") as doc:
             for batch in batches:
                 sizes = []
-                for text in batch.column(1).to_pylist():
-                    x = e.encode(text) + end
-                    sizes.append(len(x) // e.dtype.itemsize)
-                    ids.write(x)
+                for k in range(0, batch.num_rows, 1024):
+                    for x in e.encode(batch.column(1).slice(k, 1024).to_pylist()):
+                        sizes.append(len(x) // e.dtype.itemsize + 1)
+                        ids.write(x + end)
                 ends = at + np.cumsum(np.array(sizes, np.int64))
                 at, n_docs = int(ends[-1]) if len(ends) else at, n_docs + len(ends)
                 off.write(ends.astype("<i8").tobytes())

@@ -247,15 +247,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, work: str | None = None) -> Dat
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     """The rows of `docs`, whole, of one document in each class: that of the smallest doc_id, once.
 
-    Rows without a doc_id stay unless they have a copy or near copy with one.
+    Rows without a doc_id have no place in a class: they stay, once for each text.
     """
     names = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"), n)
-    kept = found.where("kept or component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), n).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_text"))
-    whole = packed.join(kept, packed["_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    named = whole.where("_id is not null").dropDuplicates(["_id"])  # rows that repeat an id are one document
-    nameless = whole.where("_id is null").dropDuplicates(["_text"])
+    named = packed.join(kept, packed["_id"] == kept["_kept"], "left_semi").dropDuplicates(["_id"])  # rows that repeat an id are one document
+    nameless = packed.where("_id is null").dropDuplicates(["_text"])
     return named.union(nameless).select("row.*")
 
 

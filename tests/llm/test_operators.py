@@ -1,0 +1,205 @@
+"""The operators against brute force, on a small table with nulls, empty and long texts, copies and clashing columns."""
+
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from talweg.llm import bpe, decontaminate, licenses, media, neardup, quality, secrets, tokenfiles, toxicity, urls
+from talweg.llm.common import table
+
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six"
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+TEXTS = [
+    (1, BASE), (2, BASE.upper()), (3, BASE + " seven"), (4, BASE.replace("pi", "PIE")), (5, "words of another kind altogether here " * 9), (6, None), (7, ""), (8, " \n\t "),
+    (9, "two words"), (10, "Two  Words"), (11, "x" * 30_000), (12, "Été 漢字 🙂 naïve — don't stop.\n\nEnd 　 here"), (13, f'my token = "{KEY}" and AKIA{"Q7" * 10} plus {"ab12" * 8}'),
+    (14, "credential Zx8Kq0vB7nM2pLw9RtYc3 bearer abcdefghijklmnopqrstuvwxyz"), (15, "Released under the MIT License."), (None, BASE), (None, None), (16, "long " * 20_000), (5, "words of another kind altogether here " * 9),
+]
+IDS = "doc_id long, text string, lang string, source string, n_chars long, row string, x int, node long, label int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", None, None, "r", 1, 2, None) for i, t in TEXTS], IDS)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def test_near_duplicates(spark, docs, none):
+    sets = {}
+    for i, t in TEXTS:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, set()).update({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
+    label = {i: i for i in sets if i is not None}
+    for _ in label:
+        for a, b in itertools.permutations(label, 2):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                label[a] = label[b] = min(label[a], label[b])
+    got = neardup.near_duplicates(docs, 4).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], label[r.doc_id] == r.doc_id)
+    assert {(r.component_id, r.kept) for r in got if r.doc_id is None} == {(1, False), (None, False)}
+    assert neardup.near_duplicates(none, 4).count() == 0
+    kept = neardup.keep_one(docs, 4)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 16]
+
+
+def test_large_group_is_exact(spark):
+    """More near copies than RARE, some of them linked only through others."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.choice(120, rng.integers(0, 9), replace=False):
+            w[k] = f"n{rng.integers(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: neardup.shingles(t, 5) for i, t in rows}
+    label = dict.fromkeys(sets)
+    for i in sets:
+        label[i] = i
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    for _ in range(90):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == label and len(set(label.values())) > 3
+
+
+def test_bpe(docs, none):
+    e = bpe.encoder(P.path(bpe.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=e.v.rank, special_tokens={})
+    for r in bpe.decode(bpe.encode(docs)).collect():
+        assert bytes(r.decoded).decode() in {t or "" for i, t in TEXTS if i == r.doc_id}
+    for r in bpe.round_trip(docs).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(bytes(r.decoded).decode())
+    assert bpe.round_trip(none).count() == 0
+    rng = np.random.default_rng(1)
+    chars = list("abcdeinrst  ''\n\n.,0é漢🙂\x00AB_\x1c\t\xa0　²")
+    for _ in range(2000):
+        text = "".join(rng.choice(chars, rng.integers(0, 40)))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+        edited = bpe.TextEncoder(e, text)
+        for _ in range(3):
+            a = rng.integers(0, len(edited.text) + 1)
+            edited.replace(a, rng.integers(a, len(edited.text) + 1), "".join(rng.choice(chars, rng.integers(0, 5))))
+            assert edited.tokens().tolist() == enc.encode_ordinary(edited.text)
+    p = bpe.Prefixes(e.v, b"hello wor")
+    p.append(b"ld again")
+    assert p.tokens() == e.tree.tokens(b"hello world again") and p.tokens(5) == e.tree.tokens(b"hello")
+
+
+def test_licenses(spark, docs, none):
+    assert [(r.doc_id, r.license, r.containment) for r in licenses.scan_licenses(docs).collect()] == [(15, "mit-line", 1.0)]
+    assert licenses.scan_licenses(none).count() == 0
+    mit = licenses.TEMPLATES["mit"].split()
+    cases = {1: " ".join(mit), 2: " ".join(["before"] * 40 + mit[:-6] + ["after"] * 300), 3: " ".join(mit[:30]), 4: " ".join(mit[:20] + ["added"] + mit[20:])}
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert {x for x in got if x[1] == "mit"} == {(1, "mit"), (2, "mit"), (4, "mit")}
+
+
+def test_secrets(docs, none):
+    text = dict(TEXTS)[13]
+    at = text.index("token")
+    base = secrets.base_spans(text)
+    assert base[0] == (at, text.index(KEY) + 40, "assign") and {k for *_, k in base} == {"assign", "access", "hex"}
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert [s.kind for s in got[14].spans] == ["novel"] and not got[14].base and not got[6].spans
+    plain = re.compile(r"[0-9a-f]+")
+    for _, t in TEXTS:
+        assert [m.span() for m in plain.finditer(t or "") if len(m[0]) >= 24] == [x[:2] for x in secrets.base_spans(t or "") if x[2] == "hex"]
+    cleaned = secrets.redact_secrets(docs)
+    assert cleaned.columns == docs.columns and cleaned.count() == len(TEXTS)
+    assert KEY not in cleaned.where("doc_id = 13").first().text and cleaned.where("doc_id = 6").first().text is None
+    assert secrets.find_secrets(none).count() == 0 == secrets.redact_secrets(none).count()
+
+
+def test_decontamination(spark, docs, none):
+    items = spark.createDataFrame([(1, " ".join(BASE.split()[3:20])), (2, "Two-words"), (3, None), (10, "!!"), (4, "Two, words")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontamination_digest(decontaminate.find_contamination(docs.where("doc_id is not null"), items)).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (30, 17, 1, True)
+    assert got[9].items_sha256 == hashlib.sha256(b"2,4").hexdigest() and got[9].n_hit == 2
+    assert (got[6].n_words, got[6].contaminated, got[5].contaminated) == (0, False, False)
+    blocks = decontaminate.decontamination_digest(decontaminate.find_contamination(docs.where("doc_id is not null"), items, block_words=2))
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, decontaminate.decontamination_digest(decontaminate.find_contamination(docs.where("doc_id is not null"), items)).collect()))
+    left = decontaminate.remove_contaminated(docs, items)
+    assert left.columns == docs.columns and {1, 9} & {r.doc_id for r in left.collect()} == set()
+    assert decontaminate.remove_contaminated(none, items).count() == 0
+    assert decontaminate.cut_spans("a b, c d", [1, 3]) == "a  d"
+
+
+def test_media(docs, none):
+    for r in media.analyse_media(media.encode_media(docs)).collect():
+        text = [t or "" for i, t in TEXTS if i == r.doc_id]
+        raws = [media.payload_of(t) for t in text]
+        assert r.payload_sha256 in {hashlib.sha256(x).hexdigest() for x in raws} and r.payload_bytes % 64 == 0 and r.payload_bytes >= 64
+        assert r.tail_crc32 in {zlib.crc32(x[-64:]) for x in raws}
+        assert r.fingerprints == sorted(r.fingerprints)
+    assert media.samples_of(media.to_wav(b"abc" * 64)) == b"abc" * 64
+    assert media.analyse_media(media.encode_media(none)).count() == 0
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    t = Tokenizer.from_file(P.path(tokenfiles.VOCABULARY))
+    out = f"file://{tmp_path}/a"
+    got = tokenfiles.read_token_files(tokenfiles.with_bases(tokenfiles.write_token_files(docs, out)), out).orderBy("start").collect()
+    keys = [r.doc_id for r in got]
+    assert len(keys) == len(TEXTS) and keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+        crcs = set()
+        for i, x in TEXTS:
+            if i == r.doc_id:
+                crcs.add(zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()))
+        assert r.ids_crc32 in crcs
+    out = f"file://{tmp_path}/b"
+    assert tokenfiles.read_token_files(tokenfiles.with_bases(tokenfiles.write_token_files(none, out)), out).count() == 0
+
+
+@pytest.mark.parametrize(("run", "label", "least"), [(quality.op5_quality, "quality", 0.95), (toxicity.op9_toxicity, "toxic", 0.8)])
+def test_held_out(spark, run, label, least):
+    """Area under the curve on the held-out labels; each document is scored."""
+    sf = "/root/testdata/sf0.01"
+    out = run(spark, sf)
+    assert out.count() == table(spark, sf, "documents").count()
+    held = [(r.score, r[label]) for r in out.join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert good and bad and all(0 <= s <= 1 for s, _ in held)
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > least
+
+
+def test_classifier_edges(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (9, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(quality.with_statistics(docs), quality.fit(quality.with_statistics(docs), labels)).count() == len(TEXTS)
+    assert quality.score(quality.with_statistics(none), quality.fit(quality.with_statistics(none), labels)).count() == 0
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).collect()} == {0.5}
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+
+
+def test_urls(spark):
+    pages = [(1, "http://WWW.Example.com/en/a?x#y"), (2, "https://a.example.com/en/"), (3, "http://x.net/es/1"), (4, None), (5, "nothing"), (6, "http://example.com"), (None, "ftp://x.example.org?q"), (7, "https://b.com/fr")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame([(i, u, 1) for i, u in pages], "page_id long, url string, host int")).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.example.com", "/en/a", "www.example.com/en/", "allow")
+    assert (got[2].rule, got[2].verdict, got[3].rule, got[7].rule) == ("example.com/en/", "block", "net/es/", "com/")
+    assert (got[4].host, got[5].path, got[6].rule, got[None].host, got[None].path) == ("", "", None, "x.example.org", "")
+    w, intercept = urls.weights()
+    for r in got.values():
+        assert r.score == sum(w[urls.bucket(g)] for g in urls.grams(r.host, r.path)) + intercept

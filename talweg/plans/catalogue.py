@@ -1,4 +1,4 @@
 """All queries: importing this module registers them."""
 
-from talweg.plans import activity, checks, relational, scoring, stateful, stores  # noqa: F401
+from talweg.plans import activity, checks, labels, relational, scoring, stateful, stores  # noqa: F401
 from talweg.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -74,7 +74,7 @@ def _(spark, d):
 @query("arr_04_know_how", "SELECT doc_id, least(count(DISTINCT lower(substr(line, 1, 60))), 10) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE length(line) BETWEEN 12 AND 200 GROUP BY 1")
 def _(spark, d):
     """Lines of 12 to 200 characters, distinct in their first 60, ten at most."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x).between(12, 200))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(12, 200))
     heads = F.array_distinct(F.transform(lines, lambda x: F.lower(F.substring(x, 1, 60))))
     return table(spark, d, "documents").select("doc_id", F.least(F.size(heads), F.lit(10)).cast("long").alias("n")).where("n > 0")
 

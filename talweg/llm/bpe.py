@@ -11,7 +11,7 @@ re-encodes only the pieces around it.
 
 Null texts count as empty: no tokens, and the empty string decoded. Lone surrogates can't occur in Spark's strings.
 Repeated rows are encoded each for itself; other columns are ignored. A worker remembers two
-generations of at most 2 * `MEMORY` pieces and `MEMORY` chunks, each of up to 64 characters, so its memory is bounded.
+generations of at most `MEMORY` chunks of up to 64 characters each, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {r: t for t, r in self.rank.items()}
+        self.size = {r: len(t) for t, r in self.rank.items()}
         # the tokens by their bytes from the last to the first: (node, byte) to node, and the token at a node or -1
         self.back, self.at = {}, [-1]
         for t, r in self.rank.items():
@@ -52,7 +54,7 @@ class Vocabulary:
             self.at[node] = r
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[tuple[int, int], int] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         # shorter ranks come first: when a token is looked at, the tokens that it can be made of are known
         for r in sorted(self.bytes):
             t = self.bytes[r]
@@ -70,13 +72,26 @@ class Vocabulary:
             x[best : best + 2] = [x[best] + x[best + 1]]
         return (self.rank[x[0]], self.rank[x[1]]) if len(x) == 2 and all(y in self.rank for y in x) else None
 
+    def after(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
+        """The token that ends the encoding of data[:end], given the last token of each shorter prefix."""
+        token, back, node, start, found = self.at, self.back, 0, end, []
+        while start and (node := back.get(node << 8 | data[start - 1])) is not None:
+            start -= 1
+            if token[node] >= 0:
+                found.append((start, token[node]))
+        while found:
+            start, t = found.pop()
+            if not start or self.fits(last(start), t):
+                return t
+        raise ValueError(f"no token can end at byte {end}")
+
     def fits(self, left: int, right: int) -> bool:
         """Whether `right` can follow `left` in an encoding."""
-        key = (left, right)
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) > 500_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self._fits(left, right)
+        key = left << 32 | right
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) > 200_000:
+                self.pairs.clear()
+            known = self.pairs[key] = self._fits(left, right)
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -96,8 +111,60 @@ class Vocabulary:
                 limit, right = right + 1, inner_right[0]
 
 
+class PrefixTree:
+    """The unique last token of every prefix of many byte strings; prefixes that strings share are worked out once.
+
+    A node stands for a prefix. The tree is dropped when it has `most` nodes.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
+        self.v, self.most = vocabulary, most
+        self.child: dict[int, int] = {}
+        self.last = [-1]
+
+    def tokens(self, data: bytes) -> list[int]:
+        """The encoding of `data`."""
+        if len(self.last) + len(data) > self.most:
+            self.child, self.last = {}, [-1]
+        child, last, node, path = self.child, self.last, 0, [0]
+        for b in data:
+            if (node := child.get(node << 8 | b)) is None:
+                break
+            path.append(node)
+        if node is None:
+            v = self.v
+            token, back, pairs = v.at, v.back.get, v.pairs.get
+            for end in range(len(path), len(data) + 1):
+                # as Vocabulary.after, written out here, where nearly all of the time goes
+                node, start, found = 0, end, []
+                while start and (node := back(node << 8 | data[start - 1])) is not None:
+                    start -= 1
+                    if (t := token[node]) >= 0:
+                        found.append((start, t))
+                for start, t in reversed(found):
+                    if not start:
+                        break
+                    left = last[path[start]]
+                    if (fits := pairs(left << 32 | t)) is None:
+                        fits = v.fits(left, t)
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token can end at byte {end}")
+                child[path[-1] << 8 | data[end - 1]] = len(last)
+                path.append(len(last))
+                last.append(t)
+        at, out, size = len(data), [], self.v.size
+        while at:
+            t = last[path[at]]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
+
+
 class Prefixes:
-    """The unique last token of every prefix of a byte string."""
+    """The unique last token of every prefix of one byte string, for appending to it and editing it."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.v, self.data, self.last = vocabulary, bytearray(), []
@@ -106,19 +173,9 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         at = len(self.data)
         self.data += more
-        data, last, fits, token, back = bytes(self.data), self.last, self.v.fits, self.v.at, self.v.back.get
+        data, last = bytes(self.data), self.last
         for end in range(at + 1, len(data) + 1):
-            node, start, found = 0, end, []
-            while start and (node := back(node << 8 | data[start - 1])) is not None:
-                start -= 1
-                if token[node] >= 0:
-                    found.append((start, token[node]))
-            for start, t in reversed(found):
-                if not start or fits(last[start - 1], t):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"no token can end at byte {end}")
+            last.append(self.v.after(data, end, lambda k: last[k - 1]))
 
     def replace(self, start: int, end: int, by: bytes) -> None:
         """An edit: what is known of the bytes before `start` stays."""
@@ -149,10 +206,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.v = Vocabulary(path)
-        self.split = regex.compile(pattern)
-        self.pieces = Recent(self.piece, 2 * MEMORY)
-        # a chunk follows a space, or is a line break and what follows it
-        self.chunks = Recent(lambda x: self.matches(x if x[:1] == "\n" else " " + x), MEMORY)
+        self.split, self.tree = regex.compile(pattern), PrefixTree(self.v)
+        self.chunks = Recent(self.chunk, MEMORY)
         most = max(self.v.bytes) + 1
         self.sizes = np.array([len(self.v.bytes.get(r, b"")) for r in range(most)], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -162,11 +217,19 @@ class Encoder:
         """The tokens of one match of the pattern, as little-endian unsigned 32-bit integers."""
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.v.rank.get(raw)
-        return array("I", [whole] if whole is not None else Prefixes(self.v, raw).tokens()).tobytes()
+        return array("I", [whole] if whole is not None else self.tree.tokens(raw)).tobytes()
 
     def matches(self, text: str) -> bytes:
         """The tokens of a text, by the pattern."""
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.piece, self.split.findall(text)))
+
+    def chunk(self, chunk: str) -> bytes:
+        """The tokens of a chunk that follows a space, or is a line break and what follows it."""
+        if chunk.isalpha():
+            return self.piece(" " + chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,":
+            return self.piece(" " + chunk[:-1]) + self.piece(chunk[-1])
+        return self.matches(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def encode(self, text: str) -> bytes:
         """The tokens of a text, as piece() gives them."""

@@ -39,8 +39,9 @@ class WordEncoder:
     """Texts to flat bytes of `dtype`, with a bounded memory of words.
 
     New words of letters alone are encoded many at a time, parted by spaces, and told apart by the tokens that end a
-    word; a word of letters with one full stop or comma after it is two matches of the tokenizer's split, so two
-    entries together; all else is encoded by itself.
+    word; a word with one full stop or comma after it is two matches of the tokenizer's split, so two entries together,
+    if it is of letters alone once normalised too (a combining mark at its end, as of U+0130 in small letters, would join
+    the stop); all else is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -56,6 +57,9 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_letters(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or self.tokenizer.normalizer.normalize_str(word).isalpha())
+
     def _learn(self, new: list[str]) -> None:
         known, old = self.known, self.old
         words, stops, others = set(), [], []
@@ -64,7 +68,7 @@ class WordEncoder:
                 known[x] = old[x]
             elif x.isalpha():
                 words.add(x)
-            elif x[:-1].isalpha() and x[-1] in ".,":
+            elif x[-1:] in (".", ",") and self._of_letters(x[:-1]):
                 stops.append(x)
                 if x[:-1] not in known:
                     words.add(x[:-1])
@@ -86,11 +90,12 @@ class WordEncoder:
             known[x] = known[x[:-1]] + known[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Small letters save entries, but special tokens are found in the text as it is, so such texts stay as they are."""
         out = []
         for at in range(0, len(texts), 256):
             if len(self.known) > MEMORY:
                 self.old, self.known = self.known, {}
-            split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts[at : at + 256]]
             known = self.known
             if new := [x for x in set().union(*split) if x not in known]:
                 self._learn(new)

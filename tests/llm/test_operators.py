@@ -172,6 +172,14 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.read_token_files(tokenfiles.with_bases(tokenfiles.write_token_files(none, out)), out).count() == 0
 
 
+@pytest.mark.parametrize("text", ["MECLİSİ.", "MECLİSİ,", "MECLİSİ. b", "क\u0958.", "क\u0958,", "\u0f43. \ufb1d,", "Été. naïve, ß.", "<|ENDOFTEXT|> <|endoftext|> A"])
+def test_token_ids_of_words_with_stops(text):
+    """Words whose normalised form ends in a combining mark, which the split joins to the stop after it."""
+    t = Tokenizer.from_file(P.path(tokenfiles.VOCABULARY))
+    e = tokenfiles.WordEncoder(P.path(tokenfiles.VOCABULARY))
+    assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("run", "label", "least"), [(quality.op5_quality, "quality", 0.95), (toxicity.op9_toxicity, "toxic", 0.8)])
 def test_held_out(spark, run, label, least):
     """Area under the curve on the held-out labels; each document is scored."""

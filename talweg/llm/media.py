@@ -2,14 +2,16 @@
 
 A payload is the text as UTF-8, zero-padded to a positive multiple of 64 bytes; it is stored as the 8-bit mono
 samples of a WAV file, read back by the wave module, and analysed in frames of 256 samples (Hann window, half
-overlapping; a shorter recording is one zero-padded frame). In each of four bands of the spectrum the strongest bin
-of a frame is a peak, if it stands out from the mean of the frame; each peak is paired with the peaks of the next
-three frames in its own band. A fingerprint is (time, first bin, second bin, distance) in one integer,
-kept as an array in order of time.
-
-Null and empty texts are 64 zero bytes, whose spectrum has no peak, so their array is empty. Equal texts have equal
-values; repeated rows are encoded each for itself; other columns are ignored. Long recordings are analysed in blocks
-of frames, so memory is bounded by the text itself.
+overlapping), less its mean and zero-padded by half a frame at the start and at the end, and to whole frames, so that
+every sample stands in the middle of some frame. A recording of at most 320 samples would have too few frames: it is
+zero-padded by 192 samples on both sides, in steps of 32. In each of four bands of the spectrum the strongest bin of
+a frame is a peak, if it stands out from the mean of the frame; each peak is paired with the peaks of the next three
+frames in its own band and with those of its own frame in the bands above. A fingerprint is (time in frames, first
+bin, second bin, distance in frames) in one integer, kept as an array in order of time.
+
+Null and empty texts are 64 zero bytes, whose spectrum has no peak, so their array is empty; so is that of a text of
+one repeated byte that fills its payload. Equal texts have equal values; repeated rows are encoded each for itself;
+other columns are ignored. Long recordings are analysed in blocks of frames, so memory is bounded by the text itself.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import io
 import wave
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from talweg.llm.common import arrow_map, id_and_text, table
 
 RATE, FRAME, HOP, NEXT, BLOCK = 8000, 256, 128, 3, 2048
+SHORT, SHORT_HOP, SHORT_PAD = 320, 32, 192
 BANDS = ((1, 9), (9, 25), (25, 57), (57, 129))
 _HANN = np.hanning(FRAME).astype(np.float32)
 
@@ -56,9 +60,9 @@ def peaks(samples: bytes) -> np.ndarray:
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
     if not np.ptp(x):
         return np.zeros((0, len(BANDS)), np.int64)
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    pad, hop = (SHORT_PAD, SHORT_HOP) if len(x) <= SHORT else (HOP, HOP)
+    x = np.pad(x - x.mean(), (pad, pad + -len(x) % hop))
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::hop]
     out = np.zeros((len(frames), len(BANDS)), np.int64)
     for at in range(0, len(frames), BLOCK):
         block = frames[at : at + BLOCK]
@@ -71,7 +75,7 @@ def peaks(samples: bytes) -> np.ndarray:
 
 
 def fingerprints(samples: bytes) -> np.ndarray:
-    """Pairs of peaks: time << 24 | first bin << 13 | second bin << 2 | distance (1 to NEXT), sorted."""
+    """Pairs of peaks: time << 24 | first bin << 13 | second bin << 2 | distance (0 in one frame, to NEXT), sorted."""
     p = peaks(samples)
     found = [np.empty(0, np.int64)]
     for d in range(1, NEXT + 1):
@@ -79,6 +83,10 @@ def fingerprints(samples: bytes) -> np.ndarray:
             a, b = p[:-d, k], p[d:, k]
             at = np.flatnonzero((a > 0) & (b > 0))
             found.append(at << 24 | a[at] << 13 | b[at] << 2 | d)
+    for j, k in combinations(range(len(BANDS)), 2):
+        a, b = p[:, j], p[:, k]
+        at = np.flatnonzero((a > 0) & (b > 0))
+        found.append(at << 24 | a[at] << 13 | b[at] << 2)
     return np.sort(np.concatenate(found))
 
 

@@ -153,6 +153,15 @@ def test_media(docs, none):
     assert media.analyse_media(media.encode_media(none)).count() == 0
 
 
+def test_fingerprints_of_short_texts_and_of_ends():
+    prints = [media.fingerprints(media.payload_of(t)).tobytes() for t in ("two words", "Two  Words", "a", BASE, BASE + " seven", "x" * 300)]
+    assert all(prints) and len(set(prints)) == len(prints)
+    assert not len(media.fingerprints(media.payload_of("")))
+    for n in (320, 384, 448, 512, 960):
+        low, high = b"aaaazzzz" * (n // 8), b"az" * 32
+        assert media.fingerprints(low).tolist() != media.fingerprints(low[:-64] + high).tolist()
+
+
 def test_token_files(spark, docs, none, tmp_path):
     t = Tokenizer.from_file(P.path(tokenfiles.VOCABULARY))
     out = f"file://{tmp_path}/a"

@@ -216,6 +216,19 @@ def _(spark, d):
     return both.groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("attached"))
 
 
+@query(
+    "joi_06_all_by_either_key",
+    "SELECT l_orderkey, l_linenumber, min(o_orderkey) AS attached FROM (SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_custkey = l_suppkey) GROUP BY 1, 2",
+)
+def _(spark, d):
+    """Every request to at most one contract, by one key or another: the least of each contract key first, then two equi-joins."""
+    req, con = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    first = con.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    both = req.join(con.select("o_orderkey").distinct(), _C("l_orderkey") == _C("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderkey")
+    both = both.union(req.join(first, _C("l_suppkey") == _C("o_custkey")).select("l_orderkey", "l_linenumber", "o_orderkey"))
+    return both.groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("attached"))
+
+
 @query("joi_07_without_contract", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), _C("c_custkey") == _C("o_custkey"), "left_anti").select("c_custkey")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.text import fold
 from talweg.operators import intervals, store
+from talweg.plans import catalogue
 
 
 def test_upsert_with_null_keys_and_empty_tables(spark):
@@ -42,3 +43,13 @@ def test_pushdown(spark, sf_dir):
     """A point lookup reaches the scan."""
     plan = store.point_lookup(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", 5).select("o_custkey")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderkey,5)" in plan and "o_totalprice" not in plan
+
+
+def test_either_key_attaches_all_requests(spark, tmp_path):
+    """Requests of any order key, against brute force."""
+    lines, orders = [(k, k % 3, k % 7) for k in (1, 2, 399, 400, 5000, 9000)], [(400, 2), (5000, 90), (9001, 5), (7, 5), (1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["joi_06_all_by_either_key"](spark, str(tmp_path)).collect()}
+    found = {(k, n): [o for o, c in orders if o == k or c == s] for k, n, s in lines}
+    assert got == {(*key, min(x)) for key, x in found.items() if x}

@@ -564,6 +564,22 @@ def _(spark, d):
     return a.subtract(b).select(F.lit("left").alias("side"), "word").union(b.subtract(a).select(F.lit("right"), "word"))
 
 
+@query(
+    "set_01_all_differences",
+    """WITH w AS (SELECT word, max(l) AS l, max(r) AS r FROM (SELECT unnest(string_split(text, ' ')) AS word, 1 AS l, 0 AS r FROM documents UNION ALL SELECT unnest(string_split(text, ' ')), 0, 1 FROM benchmark) GROUP BY 1)
+    SELECT CASE WHEN l = 1 THEN 'left' ELSE 'right' END AS side, word FROM w WHERE l <> r
+    UNION ALL SELECT 'verdict', CASE WHEN count(*) = 0 THEN 'both_empty' WHEN count(*) FILTER (l <> r) = 0 THEN 'agree' WHEN max(l) = 0 THEN 'right_only' WHEN max(r) = 0 THEN 'left_only' ELSE 'disagree' END FROM w""",
+)
+def _(spark, d):
+    """The words of all documents against those of all benchmark items, both ways, and the verdict."""
+    words = lambda t, a, b: table(spark, d, t).select(F.explode(F.split("text", " ")).alias("word"), F.lit(a).alias("l"), F.lit(b).alias("r"))
+    w = words("documents", 1, 0).union(words("benchmark", 0, 1)).groupBy("word").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    apart = w.where(_C("l") != _C("r")).select(F.when(_C("l") == 1, "left").otherwise("right").alias("side"), "word")
+    n = F.count(F.lit(1))
+    verdict = F.when(n == 0, "both_empty").when(F.count_if(_C("l") != _C("r")) == 0, "agree").when(F.max("l") == 0, "right_only").when(F.max("r") == 0, "left_only").otherwise("disagree")
+    return apart.union(w.agg(verdict.alias("word")).select(F.lit("verdict"), "word"))
+
+
 @query("set_02_union_seen", "SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part UNION ALL SELECT lower(p_type) FROM part UNION ALL SELECT lower(p_brand) FROM part)")
 def _(spark, d):
     df = table(spark, d, "part")

@@ -53,3 +53,18 @@ def test_either_key_attaches_all_requests(spark, tmp_path):
     got = {tuple(r) for r in catalogue.QUERIES["joi_06_all_by_either_key"](spark, str(tmp_path)).collect()}
     found = {(k, n): [o for o, c in orders if o == k or c == s] for k, n, s in lines}
     assert got == {(*key, min(x)) for key, x in found.items() if x}
+
+
+def test_differences_over_whole_tables(spark, tmp_path):
+    """Words of the last rows count, and the verdict is there when nothing differs."""
+
+    def run(name, a, b):
+        d = f"{tmp_path}/{name}"
+        for t, texts in (("documents", a), ("benchmark", b)):
+            spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, text string").write.parquet(f"{d}/{t}.parquet")
+        return {tuple(r) for r in catalogue.QUERIES["set_01_all_differences"](spark, d).collect()}
+
+    assert run("a", ["x y"] * 60 + ["last", None], ["y", "z"]) == {("left", "x"), ("left", "last"), ("right", "z"), ("verdict", "disagree")}
+    assert run("b", ["y x"], ["x y"]) == {("verdict", "agree")}
+    assert run("c", [], []) == {("verdict", "both_empty")}
+    assert run("d", [], ["x"]) == {("right", "x"), ("verdict", "right_only")}

@@ -58,7 +58,7 @@ def _(spark, d):
 
 @query("joi_10_dictionary_search", "SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents) WHERE name IN ('idiot', 'moron', 'clown', 'licensed') GROUP BY 1, 2")
 def _(spark, d):
-    """Words of a dictionary found in texts, with their counts: words meet the dictionary by equality."""
+    """A plain count of single words, which meet a list by equality; not the whole dictionary search (see README)."""
     known = spark.createDataFrame([("idiot",), ("moron",), ("clown",), ("licensed",)], "name string")
     words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("name"))
     return words.join(F.broadcast(known), "name").groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it, a local session (tests) gets one of this
+    machine, where driver and executors are one process; on a cluster, whose executors would each write to a disk of their
+    own, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="talweg-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="talweg-")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -41,7 +50,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch of at most 1024 rows; what it returns None for is left out.
 
-    The session's Arrow batches are held to 1024 rows and 16 MB, on which the memory of both sides depends.
+    The session's Arrow batches are held to 1024 rows and 16 MB, on which the memory of both sides depends; smaller settings stay.
+    The plan reads them when it runs, so they stay set.
     """
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 16 << 20)):

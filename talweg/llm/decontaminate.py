@@ -7,29 +7,33 @@ known words stand in a row as a window has can a window occur: those places are
 each hit is verified on the word numbers themselves. Hits give word spans, items and the verdict; the spans or the
 whole documents can then be removed.
 
-The benchmark is the one broadcast side. It is read in blocks of at most `block_words` words, and each block is one
-more pass over the documents, so that what is broadcast stays bounded at any size of benchmark; with one block (any
-ordinary benchmark) there is one pass.
+The benchmark is the one broadcast side. It is read in blocks of at most about `block_words` words (one item at least),
+and each block is one more pass over the documents, whose result is written before the next block is made: one block is
+held at a time, by the driver and by the executors, at any size of benchmark. With one block (any ordinary benchmark)
+there is one pass and nothing is written between.
 
 Defined results: null or wordless texts have n_words 0 and are clean; null and wordless items have no window; items
-with equal texts are all reported; repeated documents are judged each for itself; other columns are ignored.
+with equal texts are all reported; an item without an id counts as the item of the empty id, and rows that repeat an
+item_id are one item; repeated documents, and those without an id, are judged each for itself; very long texts are scanned
+whole; an empty benchmark finds nothing, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import arrow_map, id_and_text, keep_rows, table
+from talweg.llm.common import arrow_map, id_and_text, table, work_dir, written
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
+_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
 
@@ -83,20 +87,24 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
 
 
-def window_sets(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[WindowSet]:
-    """The benchmark's windows, a set for each block of at most about `block_words` words (one item at least)."""
-    items = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / (5 * block_words)))
-    of_block = lambda b: items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-    return [WindowSet([(r.item, r.text) for r in of_block(b).toLocalIterator()], window) for b in range(blocks)]
+def window_sets(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[WindowSet, bool]]:
+    """The benchmark's windows, one block after the other, each with whether it is the last."""
+    text = benchmark[text_col].cast("string")
+    items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("item"), text.alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD_ANY_CASE)))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_words))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        yield WindowSet([(r.item, r.text) for r in block.toLocalIterator()], window), b == blocks - 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_words, spans (array of word starts and ends of what is hit), items (sorted ids that occur)."""
-    found = id_and_text(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for windows in window_sets(benchmark, window=window, block_words=block_words):
-        held = docs.sparkSession.sparkContext.broadcast(windows)
+def _scanned(packed: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """`packed` (row, text) with n_words, spans (word starts and ends of what is hit) and items (sorted ids that occur)."""
+    found = packed.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema, work, k = found.schema, None, 0
+    for windows, last in window_sets(benchmark, window=window, block_words=block_words):
+        held = packed.sparkSession.sparkContext.broadcast(windows)
+        del windows
 
         def each(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
             n_words, spans, items = [], [], []
@@ -108,12 +116,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 n_words.append(len(w))
                 spans.append(_spans(hit))
                 items.append(sorted(of.union(had)))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
 
-        found = arrow_map(found, each, "doc_id long, text string, n_words long, spans array<int>, items array<string>")
+        found = arrow_map(found, each, schema)
+        if not last:
+            work, k = work or work_dir(packed.sparkSession, "decontaminate"), k + 1
+            found = written(found, f"{work}/block-{k}")
+            held.destroy()
     return found
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text, n_words, spans (array of word starts and ends of what is hit), items (sorted ids that occur)."""
+    packed = id_and_text(docs).select(F.struct("doc_id").alias("row"), "text")
+    return _scanned(packed, benchmark, window, block_words).select("row.doc_id", "text", "n_words", "spans", "items")
+
+
 def n_hit(spans="spans"):
     """How many words the spans cover."""
     ends = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
@@ -140,26 +158,34 @@ def decontamination_digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, whole, without the contaminated ones."""
-    held = [docs.sparkSession.sparkContext.broadcast(s) for s in window_sets(benchmark)]
-
-    def clean(text: str) -> bool:
-        w = words(text)
-        hit = np.zeros(len(w), bool)
-        for s in held:
-            hit |= s.value.scan(w)[0]
-        n = int(hit.sum())
-        return n == 0 or 20 * n < len(w)
-
-    return keep_rows(docs, lambda texts: list(map(clean, texts)))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    found = _scanned(packed, benchmark, window, block_words)
+    return found.where(~contaminated(n_hit(), F.col("n_words"))).select("row.*")
 
 
 def cut_spans(text: str, spans: list[int]) -> str:
     """`text` without its words of the given word spans (and what stands between them)."""
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    at = [m.span() for m in re.finditer(_WORD_ANY_CASE, text)]
     out, done = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):
         out.append(text[done : at[a][0]])
         done = at[b - 1][1]
     return "".join(out) + text[done:]
+
+
+def oracle() -> str:
+    """The contract of op6 in SQL: windows as joined words, looked up at each place of each document."""
+    upper = "".join(map(chr, range(65, 91)))
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH docs AS (SELECT doc_id, {split} AS w FROM documents),
+    items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, CAST(least({WINDOW}, len(w)) AS INT) AS n FROM (SELECT item_id, {split} AS w FROM benchmark) WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    places AS (SELECT doc_id, p, list(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS l FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM docs)),
+    hits AS (SELECT doc_id, p, n, item FROM (SELECT doc_id, p, n, array_to_string(l[1:n], ' ') AS t FROM places, lengths WHERE len(l) >= n) JOIN windows USING (n, t)),
+    found AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1),
+    covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM hits) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN found f USING (doc_id) LEFT JOIN covered c USING (doc_id)"""

@@ -2,6 +2,7 @@
 
 from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
+from talweg.llm.decontaminate import oracle as decontaminate_oracle
 from talweg.llm.licenses import op3_licenses
 from talweg.llm.media import op7_media
 from talweg.llm.neardup import op1_neardup
@@ -24,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_urls": op10_urls,
 }
-ORACLES: dict[str, str] = {"op10_urls": urls_oracle()}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate_oracle(), "op10_urls": urls_oracle()}

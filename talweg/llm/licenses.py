@@ -6,15 +6,17 @@ windows of a text end with it. A template is found in a window that holds at lea
 
 Retrieval: windows and templates have 16 MinHash values, each a band of one row. Where 0.8 of a template is in a
 window their similarity is over 0.5, so that a band collides with a probability over 1 - 2e-5 (a template of one
-shingle is in a window of that one shingle). Templates are broadcast: there are at most `MOST_TEMPLATES` of at most
-`MOST_WORDS` words. Each collision is verified by the shingles themselves.
+shingle is in a window of that one shingle). Each collision is verified by the shingles themselves. Templates are
+broadcast in blocks of at most `BLOCK_WORDS` words (one template at least), 8 bytes a word and 16 bands a template; each
+block is one pass over the documents, so there is no limit to the number of templates or to their length.
 
 Only windows that can hold a match are made. For each template some of its words (`anchors`) are chosen such that
 fewer than 0.8 of its shingles hold none of them; a window without any such word can't match, so texts without
 one are passed over, and other texts are cut around those words only.
 
-Null texts and those of fewer than five words have no shingle and no match. Results are per doc_id (null is one): rows
-that repeat an id are joined. Other columns are ignored.
+Null texts and those of fewer than five words have no shingle and no match; so have templates of fewer than five words.
+Results are per doc_id (null is one): rows that repeat an id are joined. Very long texts are whole; no templates, or an
+empty table, give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm.common import id_and_text, table
 
-SHINGLE, SHARE, BANDS, MOST_TEMPLATES, MOST_WORDS = 5, 0.8, 16, 1000, 2000
+SHINGLE, SHARE, BANDS, BLOCK_WORDS = 5, 0.8, 16, 1_000_000
 
 #: Notices by which licences are recognised, from the public texts of those licences.
 TEMPLATES = {
@@ -65,14 +68,28 @@ def needed(n: int) -> int:
 
 def anchors(templates: dict[str, str]) -> list[str]:
     """Words of which each match of each template holds one: those that cover most shingles of most templates first."""
-    shingles = {k: [set(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)] for k, t in templates.items() if (w := words_of(t))}
+    left: dict[str, set[tuple]] = {}
+    holds: dict[str, Counter] = {}
+    most = {}
+    for name, text in templates.items():
+        w = words_of(text)
+        left[name] = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+        most[name], holds[name] = needed(len(left[name])), Counter(x for s in left[name] for x in set(s))
     found: list[str] = []
-    while True:
-        open_ = {k: left for k, s in shingles.items() if len(left := [x for x in s if not x & set(found)]) >= needed(len(s)) and left}
-        if not open_:
-            return found
-        gain = Counter(w for left in open_.values() for x in left for w in x)
-        found.append(max(gain, key=lambda w: (len(w) > 6, sum(any(w in x for x in left) for left in open_.values()), gain[w], w)))
+    while open_ := [k for k in left if left[k] and len(left[k]) >= most[k]]:
+        gain, templates_of = Counter(), Counter()
+        for k in open_:
+            gain.update(holds[k])
+            templates_of.update(holds[k].keys())
+        best = max(gain, key=lambda w: (len(w) > 6, templates_of[w], gain[w], w))
+        found.append(best)
+        for k in left:
+            for s in [s for s in left[k] if best in s] if holds[k][best] else ():
+                left[k].remove(s)
+                for x in set(s):
+                    holds[k][x] -= 1
+            holds[k] = +holds[k]
+    return found
 
 
 def _words(text: Column) -> Column:
@@ -99,15 +116,31 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, width, step, shingles, bands; one row per template of at least five words."""
     rows = [(k, len(w), *window_of(len(w)), t) for k, t in templates.items() if len(w := words_of(t)) >= SHINGLE]
-    if len(rows) > MOST_TEMPLATES or any(r[1] > MOST_WORDS for r in rows):
-        raise ValueError(f"at most {MOST_TEMPLATES} templates of at most {MOST_WORDS} words")
     df = spark.createDataFrame(rows, "license string, length int, width int, step int, text string")
-    return df.withColumn("shingles", F.array_distinct(_shingles(_words(F.col("text"))))).withColumn("bands", _bands(F.col("shingles"))).drop("text", "length")
+    held = _held(_held(_held(df, words=_words(F.col("text"))), every=_shingles(F.col("words"))), shingles=F.array_distinct("every"))
+    return _held(held, bands=_bands(F.col("shingles"))).select("license", "width", "step", "shingles", "bands")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, n_windows, containment (the best), first_word and last_word (of the windows that hold it)."""
-    templates = TEMPLATES if templates is None else templates
+    found = [_scan(docs, block) for block in blocks(TEMPLATES if templates is None else templates)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def blocks(templates: dict[str, str], most: int | None = None) -> list[dict[str, str]]:
+    """The templates in order, in blocks of at most `most` words, one template at least."""
+    out, held, most = [{}], 0, most or BLOCK_WORDS
+    for name, text in templates.items():
+        n = len(words_of(text))
+        if out[-1] and held + n > most:
+            out.append({})
+            held = 0
+        out[-1][name] = text
+        held += n
+    return out
+
+
+def _scan(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     known = template_table(docs.sparkSession, templates)
     marks = anchors(templates)
     low = F.lower("text")
@@ -118,7 +151,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(marks))
     cut = _held(_held(texts, at=at).where("size(at) > 0"), all=_shingles(F.col("words"))).select("doc_id", "all", "at")
     sizes = sorted({window_of(len(w)) for t in templates.values() if len(w := words_of(t)) >= SHINGLE})
-    size = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(g).alias("step")) for w, g in sizes])).alias("size")
+    each = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(g).alias("step")) for w, g in sizes]).cast("array<struct<width:int,step:int>>")
+    size = F.explode(each).alias("size")
     sized = cut.select("doc_id", "all", "at", size).select("doc_id", "all", "at", "size.width", "size.step")
     # the windows around an anchor at word p start at the multiples of step from p - width + 1 to p
     lowest = lambda p: F.greatest(F.lit(0), F.ceil((p - F.col("width") + 1) / F.col("step"))).cast("int")
@@ -127,8 +161,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     own = F.array_distinct(F.slice("all", F.col("start") + 1, F.col("width") - SHINGLE + 1))
     hashed = _held(windows, own=own).select("doc_id", "width", "start", "own").where("size(own) > 0")
     hashed = hashed.select("doc_id", "width", "start", "own", F.posexplode(_bands(F.col("own"))).alias("band", "value"))
-    banded = known.select("license", F.col("width").alias("w"), F.col("shingles"), F.posexplode("bands").alias("b", "v"))
+    banded = known.select("license", F.col("width").alias("w"), F.posexplode("bands").alias("b", "v"))
     met = hashed.join(F.broadcast(banded), (F.col("width") == F.col("w")) & (F.col("band") == F.col("b")) & (F.col("value") == F.col("v")))
+    met = met.join(F.broadcast(known.select("license", "shingles")), "license")
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     found = _held(met, share=share).select("doc_id", "license", "start", "width", "share").where(F.col("share") >= SHARE)
     once = found.groupBy("doc_id", "license", "start", "width").agg(F.max("share").alias("share"))

@@ -1,15 +1,16 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
 Base kinds (assign, access, hex) are fixed patterns. The method adds a fourth kind, `novel`: a candidate is a run of
-16 or more credential characters on the same line as, and at most 64 characters after, a word of sensitive context. Its marginal
-compressed size (the compressed surrounding text with it, less the surrounding text alone) is measured with a
+16 or more credential characters that begins at most 64 characters after a word of sensitive context (on its line or a
+later one), or, after the head of a private key block, anywhere before the block's end. Where base spans take a part of a
+run, what they leave is a candidate, if it has 12 characters or more. A candidate's marginal compressed size (the compressed surrounding text with it, less the surrounding text alone) is measured with a
 zstandard compressor primed by a dictionary of identifiers, so that names, paths and repeated text cost next to
 nothing while random strings cost nearly all their entropy. A candidate that costs at least `NOVEL_BYTES` bytes, and
-at least `NOVEL_SHARE` of its length, is reported unless a base span overlaps it.
+at least `NOVEL_SHARE` of its length, is reported.
 
 Texts that can hold no match are passed over by exact tests (no keyword, no AKIA, no run of 24 hex characters).
-Spans are in code points, end exclusive. Null texts count as empty and have no spans; repeated rows are scanned each
-for itself; other columns are ignored.
+Spans are in code points, end exclusive. Null texts count as empty and have no spans; very long texts are scanned whole;
+repeated rows are scanned each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no
 _HEX_CHARS = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 
-#: Words that make what follows on their line a candidate.
+#: Words that make what follows a candidate.
 CONTEXT = ("auth", "bearer", "client_id", "connectionstring", "credential", "passphrase", "passwd", "password", "private", "pwd", "secret", "session", "signature", "token", "api_key", "apikey", "api key", "access key", "access_key")
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT)), re.ASCII | re.IGNORECASE)
 _CONTEXT_BYTES = tuple(x.encode() for x in CONTEXT)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}", re.ASCII)
+_KEY_HEAD, _KEY_END = re.compile(r"[ A-Z]*KEY[ A-Z]*-----"), "-----END"
 REACH, AROUND, NOVEL_BYTES, NOVEL_SHARE = 64, 200, 12, 0.6
 
 #: Identifiers and usual text around them, with which the compressor is primed.
@@ -73,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Strings in a sensitive context that no base span touches and that the primed compressor can't shorten."""
+    """Strings in a sensitive context, outside base spans, that the primed compressor can't shorten."""
     low = text.encode("utf-8", "surrogatepass").lower()
     if not any(k in low for k in _CONTEXT_BYTES):
         return []
@@ -85,21 +87,31 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             taken.append([a, b])
     out, reach = [], 0
     for c in _CONTEXT.finditer(text):
-        line_end = text.find("\n", c.end())
-        stop = min(c.end() + REACH, len(text) if line_end < 0 else line_end)
+        stop = c.end() + REACH
+        if head := _KEY_HEAD.match(text, c.end()):
+            stop = max(stop, text.find(_KEY_END, head.end()))
         at = max(c.end(), reach)
         while at < stop and (near := _CANDIDATE.search(text, at, stop + 15)):
-            a, b = _CANDIDATE.match(text, near.start()).span()
-            at = reach = b
-            k = bisect.bisect_left(taken, [b]) - 1
-            if k >= 0 and taken[k][1] > a:
-                continue
-            cost = novelty.cost(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
-            if cost >= NOVEL_BYTES and cost >= NOVEL_SHARE * (b - a):
-                out.append((a, b, "novel"))
+            start, end = _CANDIDATE.match(text, near.start()).span()
+            at = reach = end
+            for a, b in _left(start, end, taken):
+                cost = novelty.cost(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
+                if cost >= NOVEL_BYTES and cost >= NOVEL_SHARE * (b - a):
+                    out.append((a, b, "novel"))
     return out
 
 
+def _left(start: int, end: int, taken: list[list[int]]) -> list[tuple[int, int]]:
+    """What `taken` (sorted, apart) leaves of a run: the whole, or parts of at least NOVEL_BYTES characters."""
+    k = bisect.bisect_right(taken, [start]) - 1
+    k = k if k >= 0 and taken[k][1] > start else k + 1
+    out, at = [], start
+    while k < len(taken) and taken[k][0] < end:
+        out.append((at, taken[k][0]))
+        at, k = max(at, taken[k][1]), k + 1
+    return [(a, b) for a, b in [*out, (at, end)] if b - a >= NOVEL_BYTES]
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, text, base and spans: arrays of (kind, start, end), by start, then kind."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -8,8 +8,10 @@ by the cached Cholesky factors) and of the log priors.
 
 The statistics of a text never use labels, lang, source or doc_id. Null and empty texts have the statistics of an
 empty text and get a score like any other; equal texts get equal scores. Rows of the labels whose document or label
-is null are not learned from; a document with several label rows counts once for each. With no row of one class to
-learn from, every score is the share of the other class (1, 0, or 0.5 without any rows). Other columns are ignored.
+is null are not learned from; a document with several label rows, or an id with several texts, counts once for each.
+With fewer than two rows of one class to learn from, every score is the share of class 1 among them (0.5 without any
+rows). Very long texts are whole, repeated rows are scored each for itself, an empty table gives no rows, and other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,10 +105,29 @@ class Model:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
 
+def known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y: the label rows to learn from."""
+    return labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+
+
+def fit_texts(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """A model of the labelled rows of `docs`; no other text is analysed."""
+    own = id_and_text(docs).join(known(labels, label), "doc_id")
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
+
+    return _fit(arrow_map(own.select("text", "y"), each, "y int, x array<double>"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """From all labelled rows of `stats`: sums of the statistics and of their products, by class."""
+    """A model of the labelled rows of `stats`."""
+    return _fit(stats.join(known(labels, label), "doc_id").select("y", "x"))
+
+
+def _fit(rows: DataFrame) -> Model:
+    """From all rows (y, x): sums of the statistics and of their products, by class."""
     d = len(NAMES)
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
 
     def sums(batches):
         total: dict[int, list] = {}
@@ -122,7 +143,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             flat = np.concatenate(([n], s, ss.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k), pa.int32()), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["y", "i", "v"])
 
-    parts = stats.join(known, "doc_id").select("y", "x").mapInArrow(sums, "y int, i int, v double")
+    parts = rows.mapInArrow(sums, "y int, i int, v double")
     flat: dict[int, np.ndarray] = {}
     for r in parts.groupBy("y", "i").agg(F.sum("v").alias("v")).collect():  # two classes of 1 + d + d * d numbers
         flat.setdefault(r.y, np.zeros(1 + d + d * d))[r.i] = r.v
@@ -155,5 +176,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, whole, that the classifier doesn't reject."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(with_statistics(docs), learned_from(labels)))
+    held = docs.sparkSession.sparkContext.broadcast(fit_texts(docs, learned_from(labels)))
     return keep_rows(docs, lambda texts: (held.value.scores(np.array([statistics(t) for t in texts])) >= THRESHOLD).tolist())

@@ -11,7 +11,8 @@ bin, second bin, distance in frames) in one integer, kept as an array in order o
 
 Null and empty texts are 64 zero bytes, whose spectrum has no peak, so their array is empty; so is that of a text of
 one repeated byte that fills its payload. Equal texts have equal values; repeated rows are encoded each for itself;
-other columns are ignored. Long recordings are analysed in blocks of frames, so memory is bounded by the text itself.
+an empty table gives no rows; other columns are ignored. Long recordings are analysed in blocks of frames, so memory is
+bounded by the text itself.
 """
 
 from __future__ import annotations
@@ -118,5 +119,5 @@ def analyse_media(media: DataFrame) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a recording, stored, read back and fingerprinted; `feature` is the digest of the fingerprints."""
-    return analyse_media(encode_media(table(spark, sf_dir, "documents"))).drop("fingerprints")
+    """Every document as a recording, stored, read back and fingerprinted; `feature` is the digest of `fingerprints`."""
+    return analyse_media(encode_media(table(spark, sf_dir, "documents")))

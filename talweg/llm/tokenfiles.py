@@ -1,7 +1,7 @@
 """Token-ID output: flat files of unsigned integers, 64-bit document offsets, memory-mapped reading.
 
-Documents are range-partitioned and sorted by doc_id (null ids first; equal ids by a hash of the text, then the text), so the files in
-order of partition hold all documents in order. Each task writes three files under a name of its own attempt:
+Documents are range-partitioned and sorted by doc_id (null ids first; equal ids by a hash of the text, equal ones of
+both in any order), so the files in order of partition hold all documents in order, and no id's rows need to be in one task. Each task writes three files under a name of its own attempt:
 `.bin` (token ids, 16 bits each if the vocabulary allows, else 32, little-endian, each document's end id included),
 `.off` (64-bit: where each document ends, in ids, from the start of the file) and `.doc` (64-bit doc_id and a 0/1
 null mark, per document). The manifest names the files of the attempts that succeeded, so files of lost or repeated
@@ -10,11 +10,14 @@ which has one row per file.
 
 Tokens are those of the tokenizers library. Its splitting drops white space, so what stands between two spaces or
 line breaks is encoded by itself, and remembered within bounds. Null and empty texts hold the end id alone; an empty
-table gives no files and no rows; repeated rows are all written; other columns are ignored.
+table gives no files and no rows; repeated rows are all written; other columns are ignored. A very long text is encoded
+whole, in the memory of its task. Files on a local file system are memory-mapped when read; on any other, ranges of at
+most about `RANGE` bytes (one document at least) are read.
 """
 
 from __future__ import annotations
 
+import json
 import mmap
 import os
 import uuid
@@ -32,7 +35,10 @@ from pyspark.sql import functions as F
 
 from talweg.llm.common import id_and_text, table, work_dir, written
 
-VOCABULARY, END_ID, MEMORY = "word_bpe_49k.json", 1, 400_000
+VOCABULARY, END_ID, MEMORY, RANGE = "word_bpe_49k.json", 1, 400_000, 16 << 20
+
+#: The split for which texts may be cut at spaces and words be encoded by themselves.
+_BY_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordEncoder:
@@ -41,7 +47,8 @@ class WordEncoder:
     New words of letters alone are encoded many at a time, parted by spaces, and told apart by the tokens that end a
     word; a word with one full stop or comma after it is two matches of the tokenizer's split, so two entries together,
     if it is of letters alone once normalised too (a combining mark at its end, as of U+0130 in small letters, would join
-    the stop); all else is encoded by itself.
+    the stop); all else is encoded by itself. All this holds for tokenizers that normalise and split as `_BY_WORDS` does;
+    with any other, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,6 +60,10 @@ class WordEncoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.known, self.old = {}, {}
+        told = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and split == [_BY_WORDS, None] and bool(suffix)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,6 +102,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Small letters save entries, but special tokens are found in the text as it is, so such texts stay as they are."""
+        if not self.by_words:
+            return [ids.tobytes() for ids in self._ids(texts)]
         out = []
         for at in range(0, len(texts), 256):
             if len(self.known) > MEMORY:
@@ -118,7 +131,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str | None = None, en
     path = path or public_tokenizers.path(VOCABULARY)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(out_dir)
+        fs, root = _file_system(out_dir)
         fs.create_dir(root, recursive=True)
         e, part = encoder(path), TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}"
@@ -139,8 +152,8 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str | None = None, en
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([e.dtype.itemsize], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([at], pa.int64())], names=["part", "name", "itemsize", "n_docs", "n_ids"])
 
-    key = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    rows = id_and_text(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(*key).sortWithinPartitions(*key, "text").select("doc_id", "text")
+    key = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("i")]
+    rows = id_and_text(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i")).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     return written(rows.mapInArrow(over, "part int, name string, itemsize int, n_docs long, n_ids long"), f"{out_dir}/manifest")
 
 
@@ -148,25 +161,34 @@ def with_bases(manifest: DataFrame) -> DataFrame:
     """The manifest, a row per file, with the number of ids in all files before each one."""
     files = manifest.orderBy("part").collect()
     bases = accumulate((f.n_ids for f in files), initial=0)
-    rows = [(f.name, f.itemsize, f.n_ids, base) for f, base in zip(files, bases, strict=False)]
-    out = manifest.sparkSession.createDataFrame(rows, "name string, itemsize int, n_ids long, base long")
+    rows = [(f.name, f.itemsize, f.n_docs, base) for f, base in zip(files, bases, strict=False)]
+    out = manifest.sparkSession.createDataFrame(rows, "name string, itemsize int, n_docs long, base long")
     return out.repartition(max(1, len(rows)), "base") if rows else out
 
 
+def _file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a URI (s3a as s3) and the path on it."""
+    return pa.fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
+
+
 class _File:
-    """The bytes of a file: mapped if it is local, else read."""
+    """Numbers of a file: mapped if it is local, else read by ranges."""
 
-    def __init__(self, uri: str):
-        fs, path = pa.fs.FileSystem.from_uri(uri)
+    def __init__(self, uri: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        fs, path = _file_system(uri)
         if isinstance(fs, pa.fs.LocalFileSystem):
             with open(path, "rb") as f:
-                self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b""
+                self.mapped = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b"", self.dtype)
         else:
-            with fs.open_input_stream(path) as f:
-                self.data = f.read()
+            self.mapped, self.file = None, fs.open_input_file(path)
 
-    def array(self, dtype: str) -> np.ndarray:
-        return np.frombuffer(self.data, dtype)
+    def part(self, a: int, b: int) -> np.ndarray:
+        """The numbers from a to b."""
+        if self.mapped is not None:
+            return self.mapped[a:b]
+        w = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * w, a * w), self.dtype)
 
 
 def read_token_files(files: DataFrame, out_dir: str, step: int = 4096) -> DataFrame:
@@ -175,13 +197,22 @@ def read_token_files(files: DataFrame, out_dir: str, step: int = 4096) -> DataFr
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.to_pylist():
-                ids, ends, docs = _File(f"{out_dir}/{f['name']}.bin").array(f"<u{f['itemsize']}"), _File(f"{out_dir}/{f['name']}.off").array("<i8"), _File(f"{out_dir}/{f['name']}.doc").array("<i8").reshape(-1, 2)
-                starts = np.concatenate(([0], ends[:-1]))
-                for k in range(0, len(ends), step):
-                    a, b = starts[k : k + step], ends[k : k + step]
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    key = pa.array(docs[k : k + step, 0], pa.int64(), mask=docs[k : k + step, 1].astype(bool))
-                    yield pa.RecordBatch.from_arrays([key, pa.array(a + f["base"], pa.int64()), pa.array(b - a, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ids, offsets, docs = _File(f"{out_dir}/{f['name']}.bin", f"<u{f['itemsize']}"), _File(f"{out_dir}/{f['name']}.off", "<i8"), _File(f"{out_dir}/{f['name']}.doc", "<i8")
+                before = 0
+                for k in range(0, f["n_docs"], step):
+                    to = min(k + step, f["n_docs"])
+                    ends, keys = offsets.part(k, to), docs.part(2 * k, 2 * to).reshape(-1, 2)
+                    starts = np.concatenate(([before], ends[:-1]))
+                    crc: list[int] = []
+                    while len(crc) < len(ends):
+                        i = len(crc)
+                        j = max(i + 1, int(np.searchsorted(ends, starts[i] + RANGE // f["itemsize"], "right")))
+                        held = ids.part(int(starts[i]), int(ends[j - 1])).astype("<u4")
+                        cuts = (ends[i:j] - starts[i]).tolist()
+                        crc += [zlib.crc32(held[a:b].tobytes()) for a, b in zip([0, *cuts], cuts, strict=False)]
+                    key = pa.array(keys[:, 0], pa.int64(), mask=keys[:, 1].astype(bool))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(starts + f["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    before = int(ends[-1])
 
     return files.mapInArrow(over, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

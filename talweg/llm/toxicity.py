@@ -1,14 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct hashes of its words, of its pairs of neighbouring words and of its pairs with one
-word between, 2^20 each, A-Z lower-cased; a word counts 1 and a pair less. Learning takes at most `MAX_ROWS` labelled documents, in order of a
-hash of their doc_id (a bounded sample, the same on every run), passes over them `EPOCHS` times with one learning
-rate per coordinate, and ends with few weights that are not zero, since L1 keeps the others at zero. At most
+word between, 2^20 each, A-Z lower-cased; a word counts 1 and a pair less. Learning takes at most `MAX_ROWS` labelled documents, in
+order of a hash of their doc_id (a bounded sample, the same on every run, also where ids are repeated), passes over them
+`EPOCHS` times with one learning rate per coordinate, a toxic one (they are few) with `WEIGHT` times the gradient, and ends with few weights that are not zero, since L1 keeps the others at zero. At most
 3 * 2^20 weights, a few thousand in practice, are broadcast; each text's score is the logistic of the sum of its own.
 
 The score never uses labels, lang, source or doc_id. Null and empty texts have no feature and score by the intercept
 alone; equal texts have equal scores. Labels of null rows, or other than 0 and 1, are not learned from; with none to
-learn from, every score is 0.5. Other columns are ignored.
+learn from, every score is 0.5. Very long texts are whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from talweg.llm.common import arrow_map, crc_mod, id_and_text, table
 
 BITS, MAX_ROWS, EPOCHS, THRESHOLD, FOLDS, HELD_OUT = 20, 12_000, 8, 0.3, 4, 2
-ALPHA, BETA, L1, L2, PAIR_VALUE = 1.0, 1.0, 6.0, 0.0, 0.3
+ALPHA, BETA, L1, L2, PAIR_VALUE, WEIGHT = 1.0, 1.0, 6.0, 0.0, 0.3, 2.0
 SIZE = (3 << BITS) + 1
 _TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 or c == 0x27 else 32 for c in range(256))
 
@@ -64,7 +64,7 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, y: int) -> None:
         w, b, v = self.weights(at), self.intercept(), values(at)
-        error = 1 / (1 + np.exp(-np.clip((w * v).sum() + b, -35, 35))) - y
+        error = (1 / (1 + np.exp(-np.clip((w * v).sum() + b, -35, 35))) - y) * (WEIGHT if y else 1.0)
         g, n = error * v, self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + g * g
@@ -78,8 +78,8 @@ class Ftrl:
         return np.append(at, SIZE - 1), np.append(self.weights(at) * values(at), self.intercept())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Learns in one task, from the bounded sample."""
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """h (the order), y, x (the features): the documents of the first MAX_ROWS labels."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     sample = known.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "y").limit(MAX_ROWS)
 
@@ -87,6 +87,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
         found = [features(t) for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
+    return arrow_map(id_and_text(docs).join(F.broadcast(sample), "doc_id").select("h", "y", "text"), vectors, "h long, y int, x array<int>")
+
+
+def _most(rows: DataFrame) -> DataFrame:
+    """The first MAX_ROWS of them: ids that documents repeat have more."""
+    return rows.orderBy("h", "y", "x").limit(MAX_ROWS)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+    """Learns in one task, from the bounded sample."""
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
@@ -99,8 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.nd
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w)], names=["i", "w"])
 
-    joined = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("h", "y", "text")
-    found = arrow_map(joined, vectors, "h long, y int, x array<int>").repartition(1).sortWithinPartitions("h", "y", "x").mapInArrow(learn, "i int, w double").orderBy("i").collect()
+    found = _most(learning_rows(docs, labels, label)).repartition(1).sortWithinPartitions("h", "y", "x").mapInArrow(learn, "i int, w double").orderBy("i").collect()
     return np.array([r.i for r in found], np.int64), np.array([r.w for r in found])
 
 

@@ -6,7 +6,8 @@ host or path is hashed (md5) to one of 4096 numbers, whose whole-number weights
 The model is trained, on the driver, from the small labelled table below: full-batch gradient descent with L2.
 
 Null urls and those without `://` have an empty host and path, fit no rule and are judged by the intercept. Repeated
-rows are judged each for itself; page_id may be null; other columns are ignored.
+rows are judged each for itself; page_id may be null; very long urls are judged whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,26 +25,33 @@ BUCKETS, SCALE = 4096, 1000
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: The labelled table: host and path, 1 for what should be blocked.
+#: The labelled table: host and path, 1 for what should be blocked. All of it is invented, on names reserved for examples.
 LABELLED = tuple(
     [(x, 1) for x in (
-        "spam-farm.example.org/en/12", "www.cheap-pills.example.org/buy/now", "cheap-meds.example.net/en/offer", "best-pills-online.example.org/order",
-        "win-free-casino.example.net/bonus", "casino-bonus.example.org/slots/free", "hot-singles.example.org/join", "free-money-fast.example.net/click",
-        "click-farm.example.org/ads/77", "link-farm.example.net/fr/3", "replica-watches.example.org/sale", "www.spam-links.example.net/en/1.html",
-        "xxx-videos.example.org/watch", "adult-cams.example.net/live", "payday-loans.example.org/apply", "crypto-doubler.example.net/deposit",
-        "seo-farm.example.org/backlinks", "cheap-viagra.example.org/en/4", "lottery-winner.example.net/claim", "spam.example.org/de/9",
-        "malware-download.example.org/setup.exe", "free-download-crack.example.net/keygen", "pills.example.org/en/33/", "www.casino.example.net/poker",
-        "get-rich-quick.example.org/now", "cheap-tickets-scam.example.net/pay", "doorway-pages.example.org/a/b", "spam-farm.example.net/en/700",
+        "spam-farm.test/en/12", "www.cheap-pills.example/buy/now", "cheap-meds.invalid/en/offer", "best-pills-online.test/order",
+        "win-free-casino.example/bonus", "casino-bonus.invalid/slots/free", "hot-singles.test/join", "free-money-fast.example/click",
+        "click-farm.invalid/ads/77", "link-farm.test/fr/3", "replica-watches.example/sale", "www.spam-links.invalid/en/1.html",
+        "xxx-videos.test/watch", "adult-cams.example/live", "payday-loans.invalid/apply", "crypto-doubler.test/deposit",
+        "seo-farm.example/backlinks", "cheap-viagra.invalid/en/4", "lottery-winner.test/claim", "spam.example/de/9",
+        "malware-download.invalid/setup.exe", "free-download-crack.test/keygen", "pills.example/en/33/", "www.casino.invalid/poker",
+        "get-rich-quick.test/now", "cheap-tickets-scam.example/pay", "doorway-pages.invalid/a/b", "spam-farm.test/en/700",
+        "m.poker-casino.example/de/81", "blog.free-casino-spins.invalid/es/2", "www.win-big-lottery.test/fr/5/", "buy-cheap-pills.example/de/17.html",
+        "cheap-replica-bags.invalid/sale/9", "free-xxx-cams.test/en/6", "fast-loans-online.example/apply-now", "win-a-phone.invalid/claim/now",
+        "bitcoin-doubler.test/win", "click-here-to-win.example/bonus", "adult-singles-chat.invalid/join/free", "link-exchange-seo.test/links/free",
+        "free-keygen-cracks.example/download/crack.exe", "m.slots-bonus.invalid/fr/40", "casino-slots.test/en/3", "pharmacy-no-prescription.example/pills",
     )]
     + [(x, 0) for x in (
-        "www.example.org/en/12", "news.example.org/world/2024/05", "blog.example.net/en/offer-letter", "docs.example.org/api/order",
-        "library.example.net/books/7", "university.example.org/courses", "museum.example.org/join-us", "weather.example.net/today",
-        "research.example.org/papers/77", "m.example.net/de/3", "forum.example.org/thread/5521", "www.city-council.example.net/en/1.html",
-        "video.example.org/watch", "radio.example.net/live", "jobs.example.org/apply", "bank.example.net/branches",
-        "wiki.example.org/links", "health.example.org/en/4", "sports.example.net/results", "mail.example.org/de/9",
-        "software.example.org/download", "blog.thereading.example.net/en/853/", "garden.example.org/en/33/", "blog.history.example.net/es/45",
-        "recipes.example.org/now", "railway-tickets.example.net/timetable", "maps.example.org/a/b", "m.therou.example.net/en/474.html",
-        "therin.example.org/en/770", "ththering.example.org/fr/414", "blog.stationery.example.org/es/978", "www.thand.example.org/de/252",
+        "www.townhall.test/en/12", "news.herald.example/world/2024/05", "blog.gardener.invalid/en/offer-letter", "docs.compiler.test/api/order",
+        "library.example/books/7", "university.invalid/courses", "museum.test/join-us", "weather.example/today",
+        "research.institute.invalid/papers/77", "m.timetable.test/de/3", "forum.example/thread/5521", "www.city-council.invalid/en/1.html",
+        "video.lectures.test/watch", "radio.example/live", "jobs.invalid/apply", "bank.test/branches",
+        "wiki.example/links", "health.invalid/en/4", "sports.test/results", "mail.example/de/9",
+        "software.invalid/download", "blog.mountaineers.test/en/853/", "garden.example/en/33/", "blog.history.invalid/es/45",
+        "recipes.test/now", "railway-tickets.example/timetable", "maps.invalid/a/b", "m.observatory.test/en/47.html",
+        "theatre.example/en/770", "notation.invalid/fr/414", "blog.stationery.test/es/97", "www.shoreline.example/de/25",
+        "bleached.invalid/en/81", "m.theories.test/de/17.html", "www.ancestors.example/fr/5/", "blog.nationhood.invalid/es/2",
+        "ontology.test/en/6", "parish-records.example/de/40", "m.lighthouse.invalid/fr/404", "www.chemistry.test/en/3",
+        "teaching.example/es/808/", "astronomy.invalid/en/9120", "blog.translation.test/de/5150", "m.weaving.example/fr/61.html",
     )]
 )
 

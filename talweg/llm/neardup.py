@@ -12,14 +12,17 @@ components.
 3. Each group pairs its members with its first node (the pivot). A pair passes if sizes and bitmaps admit it: the bits in
    which two bitmaps differ are at most as many as the tokens in which the sets differ, so no link is lost. Of each
    node the pair with most keys in common is verified on whole sets, and the components so far are known.
-4. Groups that still hold more than one component are open. In an open group of up to `SMALL` nodes, all pairs of
-   different components are looked at. In a larger one, nodes pair by a token: the tokens of their sets are put in order of
-   their frequency, and two sets that are similar enough share a token among the first fifth of each, at positions that
-   leave room for the overlap. A token of more than `SMALL` nodes pairs only those that share a table key too. So
-   unrelated documents with common passages don't meet, no group is expanded into all its pairs, and no link is lost.
+4. What else nodes with a table key in common may be linked with is found by tokens: those of each set are put in one
+   order (frequent ones last), and two sets that are similar enough share a token among the first fifth of each, at
+   positions that leave room for the overlap. Tokens whose nodes are of one component are done. Nodes of different
+   components that share a token of at most `SMALL` nodes are paired; of a more frequent one all are first paired with the
+   one for which it comes first, and then, where components still differ, with those of other components. All pairs are
+   admitted by sizes and bitmaps and then verified on whole sets. So no group is expanded into all its pairs, and no link
+   is lost. The list of frequent tokens that is broadcast holds at most `HOT` entries; any list gives the same links,
+   since any order does: it only bounds the work, which grows where many unrelated documents share unlisted tokens.
 5. Components: smallest reachable label by rounds of propagation and shortcut, each round written.
 
-Nothing is broadcast but by Spark's own check of sizes, and no list is kept on the driver. Groups, tokens and pivots of
+But for that list nothing is broadcast except by Spark's own check of sizes. Groups, tokens and pivots of
 more than `MOST` rows are salted in the joins that meet them.
 
 Null and wordless texts have an empty set and are linked with nothing. Repeated rows are equal sets, linked; rows that
@@ -30,6 +33,8 @@ texts are whole sets like others, of 8 bytes a token in one row. Other columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm.common import arrow_map, table, work_dir, written
 
-COLLECTIONS, EACH, LONGS, SMALL, MOST = 12, 2, 16, 32, 20_000
+COLLECTIONS, EACH, LONGS, SMALL, MOST, HOT, LEAST_HOT = 12, 2, 16, 32, 20_000, 1 << 18, 16
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _RNG = np.random.default_rng(20)
 _XOR, _ODD = (_RNG.integers(0, 1 << 63, COLLECTIONS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -121,8 +126,9 @@ def groups(nodes: DataFrame) -> DataFrame:
     return salted_join(keys, shared, ["key"], ["node"], shared.select("key", "c"))
 
 
-def admitted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that sizes and bitmaps admit: 9 * difference <= sum of the sizes wherever they are linked."""
+def admitted(pairs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """The pairs (a, b, ...; written at `path`) that sizes and bitmaps admit: 9 * difference <= sum of the sizes wherever they are linked."""
+    pairs = written(pairs, path)
     own = nodes.select("node", F.col("n_shingles").alias("n"), "bits")
     side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
@@ -132,24 +138,34 @@ def admitted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, n, s (the set) of the given nodes (node, id, d1, d2): each made from one row of those its node names."""
+    """node, n, s (the set as bytes) of the given nodes (node, id, d1, d2): each made from one row of those its node names."""
     rows, wanted = _rows_of(docs), nodes.select("node", "id", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     own = rows.join(wanted, (rows["d1"] == wanted["e1"]) & (rows["d2"] == wanted["e2"]) & rows["doc_id"].eqNullSafe(wanted["id"]))
     once = own.groupBy("doc_id", "d1", "d2").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, n).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "s"])
+        found = [shingles(t, n) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "s"])
 
-    return arrow_map(once, each, "node long, n int, s array<long>")
+    return arrow_map(once, each, "node long, n int, s binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(s) > len(t):
+                s, t = t, s
+            i = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+            keep.append(100 * i >= 80 * (len(s) + len(t) - i))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
     both = salted_join(pairs.join(side("b"), "b"), side("a"), ["a"], ["b"], pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(180 * common.cast("long") >= 80 * (F.size("sa").cast("long") + F.size("sb"))).select("a", "b")
+    return arrow_map(both.select("a", "b", "sa", "sb"), each, "a long, b long")
 
 
 def components(edges: DataFrame, work: str) -> DataFrame:
@@ -171,50 +187,78 @@ def components(edges: DataFrame, work: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def prefix_of(n: Column) -> Column:
+def hot_tokens(sets: DataFrame) -> np.ndarray:
+    """The most frequent tokens, at most HOT, the most frequent first. Tasks leave out what they see less than three times."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, seen = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merged():
+            t, inverse = np.unique(np.concatenate([tokens, *held]), return_inverse=True)
+            return t, np.bincount(inverse, np.concatenate([seen, *[np.ones(len(x), np.int64) for x in held]])).astype(np.int64)
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.uint64))
+            if sum(map(len, held)) > 2_000_000:
+                tokens, seen = merged()
+                held = []
+                if len(tokens) > 4_000_000:
+                    tokens, seen = tokens[seen > 1], seen[seen > 1]
+        tokens, seen = merged()
+        often = seen >= 3
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(seen[often])], names=["t", "c"])
+
+    found = sets.select("s").mapInArrow(counts, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_HOT)
+    rows = found.orderBy(F.desc("c"), "t").limit(HOT).select("t").toArrow()
+    return rows.column("t").to_numpy().view(np.uint64)
+
+
+def prefix_of(n: int) -> int:
     """How many tokens of a set of n hold at least one of any 0.8 of them."""
-    return n - F.ceil(4 * n / 5).cast("int") + 1
-
-
-def _pairs(rows: DataFrame, on: list[str], room: bool) -> DataFrame:
-    """a < b: rows (node, label, n, ...) of equal `on` and different components, that sizes (and positions) admit."""
-    a, b = rows.alias("a"), rows.alias("b")
-    fits = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-    for k in on:
-        fits &= F.col(f"a.{k}") == F.col(f"b.{k}")
-    if room:
-        left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
-        fits &= 9 * left >= 4 * (F.col("a.n") + F.col("b.n"))
-    return a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
-def prefixes(sets: DataFrame) -> DataFrame:
-    """t, p (its place in its set, rare tokens first), c (sets that hold it), of the first fifth of each of `sets` (node, n, label, s)."""
-    tokens = sets.select("node", F.explode("s").alias("t"))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    counted = salted_join(tokens, often, ["t"], ["node"], often)
-    # tokens of one set alone come first in any order: only how many there are counts
-    ranked = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("x"))
-    own = sets.select("node", "n", "label").join(ranked, "node")
-    single = F.col("n") - F.size("x")
-    first = own.select("node", "n", "label", single.alias("single"), F.posexplode(F.slice("x", 1, F.greatest(F.lit(0), prefix_of(F.col("n")) - single))))
-    return first.select("node", "n", "label", (F.col("pos") + F.col("single")).alias("p"), F.col("col.t").alias("t"), F.col("col.c").alias("c"))
-
-
-def open_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, work: str) -> DataFrame:
-    """Pairs of nodes of different components that share a group and may still be linked."""
-    named = rows.join(labels, "node", "left").select("key", "node", "c", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("c").alias("c")).where("lo < hi")
-    left = written(salted_join(named, mixed.select("key"), ["key"], ["node"], mixed.select("key", "c")), f"{work}/open")
-    small, large = left.where(F.col("c") <= SMALL), left.where(F.col("c") > SMALL)
-    pairs = _pairs(small, ["key"], False)
-    if large.isEmpty():
-        return pairs.distinct()
-    posted = written(prefixes(sets.join(large.select("node", "label").distinct(), "node")), f"{work}/prefixes")
-    rare, often = posted.where(F.col("c") <= SMALL), posted.where(F.col("c") > SMALL)
-    keyed = often.join(large.select("key", "node"), "node")
-    several = keyed.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("t", "key")
-    return pairs.union(_pairs(rare, ["t"], True)).union(_pairs(keyed.join(several, ["t", "key"], "left_semi"), ["t", "key"], True)).distinct()
+    return n - (4 * n + 4) // 5 + 1
+
+
+def postings(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """t, p (position in the order of its set), node, n: the tokens of each set's prefix."""
+    by_value = np.argsort(hot)
+    held = sets.sparkSession.sparkContext.broadcast((hot[by_value], len(hot) - by_value))  # rarer ones first
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, ranks = held.value
+        toks, places, counts = [], [], []
+        for x in batch.column(2).to_pylist():
+            s = np.frombuffer(x, np.uint64)
+            k = prefix_of(len(s))
+            rank = np.zeros(len(s), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                rank = np.where(values[at] == s, ranks[at], 0)
+            toks.append(s[np.argsort(rank, kind="stable")[:k]])
+            places.append(np.arange(k, dtype=np.int32))
+            counts.append(k)
+        rep = np.repeat(np.arange(batch.num_rows), counts)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(places)), batch.column(0).take(pa.array(rep)), batch.column(1).take(pa.array(rep))], names=["t", "p", "node", "n"])
+
+    return arrow_map(sets, each, "t long, p int, node long, n int")
+
+
+def _room(a: str, b: str) -> Column:
+    """Whether two sets that first share this token can still be similar enough."""
+    left = lambda x: F.col(f"{x}.n") - F.col(f"{x}.p")
+    return 9 * F.least(left(a), left(b)) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def by_token(posted: DataFrame, labels: DataFrame, work: str) -> DataFrame:
+    """t, p, node, n, label, c and first (the one of smallest p) of the tokens that nodes of different components share."""
+    named = written(posted.join(labels, "node", "left").select("t", "p", "node", "n", F.coalesce("label", "node").alias("label")), f"{work}/named")
+    tokens = named.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("p", "node", "n", "label")).alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
+    return written(salted_join(named, tokens, ["t"], ["node"], tokens.select("t", "c")), f"{work}/shared")
 
 
 def links(nodes: DataFrame, docs: DataFrame, n: int, work: str) -> DataFrame:
@@ -222,15 +266,30 @@ def links(nodes: DataFrame, docs: DataFrame, n: int, work: str) -> DataFrame:
     rows = written(groups(nodes), f"{work}/groups")
     sets = written(sets_of(docs, nodes.join(rows.select("node").distinct(), "node", "left_semi"), n), f"{work}/sets")
     star = rows.where("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    best = admitted(star, nodes).groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
-    pairs = written(best, f"{work}/pairs")
-    edges = written(verified(pairs, sets), f"{work}/verified")
+    best = admitted(star, nodes, f"{work}/star").groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
+    seen = written(best, f"{work}/pairs")
+    edges = written(verified(seen, sets), f"{work}/verified")
     labels = components(edges, f"{work}/first")
-    rest = open_pairs(rows, labels, sets, work).join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(written(admitted(rest, nodes), f"{work}/rest"), sets), f"{work}/more")
-    if more.isEmpty():
+
+    shared = by_token(written(postings(sets, hot_tokens(sets)), f"{work}/postings"), labels, f"{work}/second")
+    rare, often = shared.where(F.col("c") <= SMALL), shared.where(F.col("c") > SMALL)
+    differ = F.col("a.label") != F.col("b.label")
+    near = _ordered(rare.alias("a").join(rare.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.node") < F.col("b.node")) & differ & _room("a", "b")))
+    stars = _ordered(often.select(F.col("first").alias("a"), F.struct("p", "node", "n", "label").alias("b")).where(differ & _room("a", "b")))
+    pairs = written(admitted(near.union(stars).distinct().join(seen, ["a", "b"], "left_anti"), nodes, f"{work}/met"), f"{work}/more-pairs")
+    edges = written(edges.union(verified(pairs, sets)), f"{work}/more")
+    labels = components(edges, f"{work}/third")
+    if often.isEmpty():
         return labels
-    return components(edges.union(more), f"{work}/components")
+
+    left = by_token(often.select("t", "p", "node", "n"), labels, f"{work}/fourth")
+    main = left.groupBy("t", "label").count().groupBy("t").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    apart = left.join(main, "t")
+    a, b = apart.where("label != main").alias("a"), apart.alias("b")
+    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    rest = _ordered(a.join(b, (F.col("a.t") == F.col("b.t")) & differ & once & _room("a", "b"))).join(seen.union(pairs), ["a", "b"], "left_anti")
+    last = written(verified(written(admitted(rest, nodes, f"{work}/apart"), f"{work}/rest"), sets), f"{work}/last")
+    return labels if last.isEmpty() else components(edges.union(last), f"{work}/components")
 
 
 def classes(docs: DataFrame, n: int, work: str) -> DataFrame:

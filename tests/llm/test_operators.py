@@ -101,7 +101,7 @@ def test_unrelated_documents_with_common_passages(spark, tmp_path):
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 5, work).collect()
         assert {r.doc_id for r in got if not r.kept} == set(range(n, n + 5)) and {r.component_id for r in got if not r.kept} == set(range(5))
         assert spark.read.parquet(f"{work}/groups").agg({"c": "max"}).first()[0] > neardup.SMALL
-        pairs[n] = sum(spark.read.parquet(f"{work}/{x}").count() for x in ("pairs", "rest"))
+        pairs[n] = sum(spark.read.parquet(f"{work}/{x}").count() for x in ("pairs", "more-pairs"))
         assert pairs[n] <= n
 
 

@@ -59,9 +59,9 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def mirror_plan(old: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """What makes `old` equal to `wanted`: key and action (delete, insert, update, keep)."""
-    digest = lambda df: df.select(F.col(key), F.xxhash64(*sorted(df.columns)).alias("h"))
-    o, w = digest(old).alias("o"), digest(wanted).alias("w")
-    action = F.when(F.col(f"w.{key}").isNull(), "delete").when(F.col(f"o.{key}").isNull(), "insert").when(F.col("o.h") != F.col("w.h"), "update").otherwise("keep")
+    whole = lambda df: df.select(F.col(key), F.struct(*sorted(df.columns)).alias("h"))
+    o, w = whole(old).alias("o"), whole(wanted).alias("w")
+    action = F.when(F.col(f"w.{key}").isNull(), "delete").when(F.col(f"o.{key}").isNull(), "insert").when(~F.col("o.h").eqNullSafe(F.col("w.h")), "update").otherwise("keep")
     return o.join(w, F.col(f"o.{key}") == F.col(f"w.{key}"), "full").select(F.coalesce(f"o.{key}", f"w.{key}").alias(key), action.alias("action"))
 
 
@@ -76,22 +76,29 @@ def patch(df: DataFrame, which: Column, changes: dict[str, Column], allowed: Seq
     return df.withColumns({c: F.when(which, v.cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in kept.items()})
 
 
+#: Times in payloads with all their digits.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def soft_delete(df: DataFrame, which: Column, kind: str, at: Column) -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and the bin's rows: kind, payload (the whole row as JSON), deleted_at."""
     gone = F.coalesce(which, F.lit(False))
-    payload = F.to_json(F.struct(*df.columns))
+    payload = F.to_json(F.struct(*df.columns), _EXACT)
     return df.where(~gone), df.where(gone).select(F.lit(kind).alias("kind"), payload.alias("payload"), at.alias("deleted_at"))
 
 
 def restore(kept: DataFrame, binned: DataFrame, kind: str) -> DataFrame:
     """`kept` and the rows of this kind out of the bin."""
-    back = binned.where(F.col("kind") == kind).select(F.from_json("payload", kept.schema).alias("row")).select("row.*")
+    back = binned.where(F.col("kind") == kind).select(F.from_json("payload", kept.schema, _EXACT).alias("row")).select("row.*")
     return kept.unionByName(back)
 
 
 def with_content_id(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows once each, with an id made of their content: loading twice changes nothing."""
-    key = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256)
+    """Rows once each, with an id made of their content: loading twice changes nothing. Each value goes in with its length, a
+    null as a mark, so that no two contents run into one another."""
+    text = lambda c: F.col(c).cast("string")
+    own = lambda c: F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-"))
+    key = F.sha2(F.concat(*map(own, sorted(columns))), 256)
     return df.withColumn("content_id", key).dropDuplicates(["content_id"])
 
 

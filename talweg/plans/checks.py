@@ -109,9 +109,10 @@ def _(spark, d):
 
 @query("cry_02_envelope", "SELECT doc_id, true AS same FROM documents")
 def _(spark, d):
-    """AES-GCM with associated data, there and back."""
+    """AES-GCM with associated data, there and back; each row has a nonce of its own, made of its id, since GCM must never use one twice."""
+    nonce = F.unhex(F.substring(F.sha2(C("doc_id").cast("string"), 256), 1, 24))
     key, aad = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.lit("registry").cast("binary")
-    sealed = F.aes_encrypt(C("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lit("000102030405060708090a0b")), aad)
+    sealed = F.aes_encrypt(C("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad)
     return table(spark, d, "documents").select("doc_id", (F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string") == C("text")).alias("same"))
 
 
@@ -151,4 +152,5 @@ def _(spark, d):
 
 @query("arr_02_flatten_distinct", "SELECT p_type, list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) AS items FROM part GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "part").groupBy("p_type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("p_name", " "))))).alias("items"))
+    words = table(spark, d, "part").select("p_type", F.explode(F.split("p_name", " ")).alias("item")).distinct()
+    return words.groupBy("p_type").agg(F.array_sort(F.collect_list("item")).alias("items"))

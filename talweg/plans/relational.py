@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talweg.operators import intervals, store
+from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
@@ -175,11 +176,11 @@ def _(spark, d):
 # --- joins -------------------------------------------------------------------------------------------------------
 
 
-@query("joi_01_needs_by_candidates", "SELECT s_suppkey, p_partkey, CASE WHEN s_nationkey % 5 = p_size % 5 THEN 1 ELSE 0 END AS score FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 3), part")
+@query("joi_01_needs_by_candidates", "SELECT s_suppkey, p_partkey, CASE WHEN s_nationkey % 5 = p_size % 5 THEN 1 ELSE 0 END AS score FROM (SELECT * FROM supplier WHERE s_suppkey % 50 = 0), part")
 def _(spark, d):
-    """A stated set of needs (the first three), each against every candidate; the needs are broadcast."""
-    needs = table(spark, d, "supplier").orderBy("s_suppkey").limit(3).select("s_suppkey", "s_nationkey")
-    pairs = table(spark, d, "part").join(F.broadcast(needs))
+    """The stated needs (ids divisible by 50), in blocks, each against every candidate."""
+    needs = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select("s_suppkey", "s_nationkey")
+    pairs = queries_in_blocks(table(spark, d, "part"), needs, "s_suppkey")
     return pairs.select("s_suppkey", "p_partkey", F.when(_C("s_nationkey") % 5 == _C("p_size") % 5, 1).otherwise(0).alias("score"))
 
 
@@ -205,22 +206,12 @@ def _(spark, d):
     return df.where("o_orderstatus <> 'F'").join(first, "o_custkey", "left").select("o_orderkey", "parent", _C("parent").isNull().alias("orphan"))
 
 
-@query(
-    "joi_06_either_key",
-    "SELECT l_orderkey, l_linenumber, min(o_orderkey) AS attached FROM lineitem JOIN orders ON o_orderkey = l_orderkey OR o_custkey = l_suppkey WHERE l_orderkey < 400 GROUP BY 1, 2",
+_EITHER = (
+    "SELECT l_orderkey, l_linenumber, min(o_orderkey) AS attached FROM (SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_custkey = l_suppkey) GROUP BY 1, 2"
 )
-def _(spark, d):
-    """A request goes to at most one contract, by one key or another: two equi-joins, not one OR."""
-    req, con = table(spark, d, "lineitem").where("l_orderkey < 400").select("l_orderkey", "l_linenumber", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    both = req.join(con, _C("l_orderkey") == _C("o_orderkey")).union(req.join(con, _C("l_suppkey") == _C("o_custkey")))
-    return both.groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("attached"))
 
 
-@query(
-    "joi_06_all_by_either_key",
-    "SELECT l_orderkey, l_linenumber, min(o_orderkey) AS attached FROM (SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON o_custkey = l_suppkey) GROUP BY 1, 2",
-)
-def _(spark, d):
+def _either(spark, d):
     """Every request to at most one contract, by one key or another: the least of each contract key first, then two equi-joins."""
     req, con = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     first = con.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
@@ -229,6 +220,10 @@ def _(spark, d):
     return both.groupBy("l_orderkey", "l_linenumber").agg(F.min("o_orderkey").alias("attached"))
 
 
+query("joi_06_either_key", _EITHER)(_either)
+query("joi_06_all_by_either_key", _EITHER)(_either)
+
+
 @query("joi_07_without_contract", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), _C("c_custkey") == _C("o_custkey"), "left_anti").select("c_custkey")
@@ -490,12 +485,12 @@ def _(spark, d):
     return table(spark, d, "events").where("event_type = 'signup'").select("event_id", F.row_number().over(_per("user_id", "ts", "event_id")).alias("position"))
 
 
-@query("win_10_sliding_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS calls FROM events")
+@query("win_10_sliding_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS calls, calls <= 20 AS allowed FROM events")
 def _(spark, d):
-    """Calls of a user within the hour up to each one (in whole seconds)."""
+    """Calls of a user within the minute up to each one (in whole seconds), and whether the cap of 20 allows it."""
     seconds = F.unix_timestamp(_C("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-3600, 0)
-    return table(spark, d, "events").select("event_id", F.count(F.lit(1)).over(w).alias("calls"))
+    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-60, 0)
+    return table(spark, d, "events").select("event_id", F.count(F.lit(1)).over(w).alias("calls")).withColumn("allowed", _C("calls") <= 20)
 
 
 # --- orders and limits -------------------------------------------------------------------------------------------

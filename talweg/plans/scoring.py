@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talweg.functions import scores
+from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.checks import _cases
 from talweg.plans.registry import query
 from talweg.sources.tables import table
@@ -21,13 +22,13 @@ _cases("sco_12_recency", {"gap": "int"}, [(None, 0.7), (0, 1.0), (2, 1.0), (5, 0
 _cases("sco_14_seniority_axis", {"years": "int", "asked": "int"}, [(3, 0, 0.5), (10, 5, 1.0), (14, 5, 0.8), (40, 5, 0.5), (5, 10, 0.38), (0, 4, 0.0)], {"value": lambda: scores.two_places(scores.seniority_axis(C("years"), C("asked")))})
 _cases("sco_18_highlights", {"t": "string"}, [("Réduit les coûts de 30 % sur 12 sites en Europe", 10.5), ("Participation", -1.5), ("Suivi régulier des travaux de la maîtrise", 3.0)], {"score": lambda: scores.highlight_score(C("t"))})
 
-_NEEDS = "(SELECT s_suppkey, s_nationkey % 4 * 3 AS least, ['red', 'ring'] AS required FROM supplier ORDER BY s_suppkey LIMIT 5)"
+_NEEDS = "(SELECT s_suppkey, s_nationkey % 4 * 3 AS least, ['red', 'ring'] AS required FROM supplier WHERE s_suppkey % 50 = 0)"
 
 
 def _pairs(spark, d):
-    """The first five suppliers as needs (a stated set, broadcast), each against every part."""
-    need = table(spark, d, "supplier").orderBy("s_suppkey").limit(5).select("s_suppkey", (C("s_nationkey") % 4 * 3).alias("least"), F.array(F.lit("red"), F.lit("ring")).alias("required"))
-    return table(spark, d, "part").select("p_partkey", "p_size", F.split("p_name", " ").alias("has")).join(F.broadcast(need))
+    """The stated needs (suppliers whose id is divisible by 50), in blocks, each against every part."""
+    need = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select("s_suppkey", (C("s_nationkey") % 4 * 3).alias("least"), F.array(F.lit("red"), F.lit("ring")).alias("required"))
+    return queries_in_blocks(table(spark, d, "part").select("p_partkey", "p_size", F.split("p_name", " ").alias("has")), need, "s_suppkey")
 
 
 _SKILLS = "floor((2 - len(list_filter(required, lambda r: NOT list_bool_or(list_transform(string_split(p_name, ' '), lambda s: contains(s, r) OR contains(r, s)))))) / 2.0 * 35 * 100 + 0.5) / 100"

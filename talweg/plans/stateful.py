@@ -32,9 +32,9 @@ def _(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("attempts"), (F.count(F.lit(1)) >= 5).alias("given_up"))
 
 
-@query("stm_04_last_progress", "SELECT user_id, arg_max(event_type, ts) AS state FROM events GROUP BY 1")
+@query("stm_04_last_progress", "SELECT user_id, last(event_type ORDER BY ts, event_id) AS state FROM events GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
 
 
 @query("stm_05_quorum", "SELECT l_orderkey, max(l_quantity) FILTER (k <= greatest(2, n - 1)) AS last_awaited FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY 1")

@@ -121,14 +121,14 @@ def _(spark, d):
     return kept.select(F.lit("kept").alias("place"), "o_orderkey", F.lit(None).cast("timestamp_ntz").alias("deleted_at")).union(binned)
 
 
-@query("snk_08_restore", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+@query("snk_08_restore", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")
 def _(spark, d):
     """What was soft-deleted comes back: the table is as it was."""
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return store.restore(*store.soft_delete(df, _C("o_orderkey") % 9 == 0, "order", F.lit("2001-08-02").cast("date")), "order")
 
 
-@query("snk_09_idempotent_ids", "SELECT DISTINCT sha256(event_type || '|' || user_id::VARCHAR) AS content_id, event_type, user_id FROM events")
+@query("snk_09_idempotent_ids", "SELECT DISTINCT sha256(coalesce(length(event_type) || ':' || event_type, '-') || coalesce(length(user_id::VARCHAR) || ':' || user_id::VARCHAR, '-')) AS content_id, event_type, user_id FROM events")
 def _(spark, d):
     twice = table(spark, d, "events").select("event_type", "user_id")
     return store.with_content_id(twice.union(twice), ["user_id", "event_type"])

@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from talweg.functions import labels
 from talweg.functions.text import fold
 from talweg.operators import intervals, store
+from talweg.operators.blocks import queries_in_blocks
 from talweg.plans import catalogue
 
 
@@ -27,6 +29,38 @@ def test_soft_delete_keeps_unknown(spark):
     assert {tuple(r) for r in store.restore(kept, gone, "t").collect()} == {(1, "a"), (2, None)}
 
 
+def test_restored_times_are_whole_and_contents_apart(spark):
+    at = dt.datetime(2020, 1, 2, 3, 4, 5, 123456)
+    df = spark.createDataFrame([(1, at, at), (2, None, None)], "k long, a timestamp, b timestamp_ntz")
+    assert {tuple(r) for r in store.restore(*store.soft_delete(df, F.lit(True), "t", F.lit(dt.date(2020, 1, 1))), "t").collect()} == {tuple(r) for r in df.collect()}
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), ("a", None)]
+    assert store.with_content_id(spark.createDataFrame(rows, "x string, y string"), ["x", "y"]).count() == 4
+
+
+def test_queries_in_blocks(spark):
+    rows, queries = spark.range(7).withColumnRenamed("id", "r"), spark.range(5).withColumnRenamed("id", "q")
+    got = {tuple(r) for r in queries_in_blocks(rows, queries, "q", 2).collect()}
+    assert got == {(r, q) for r in range(7) for q in range(5)}
+    assert queries_in_blocks(rows, queries.where("false"), "q").count() == 0
+
+
+def test_language_levels(spark):
+    cases = {"niveau scolaire solide": "B1", "professionnel complet": "C1", "bon niveau": "B2", "langue maternelle": "C2", "scolaire": "A2", "notions": "A1", "TOEIC 790": "B2", "": None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.level for r in df.select("v", labels.language_level(F.col("v")).alias("level")).collect()} == cases
+
+
+def test_entry_without_a_library_of_the_extra_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("talweg.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert not any(k.startswith("op1_") or k == "pipeline" for k in __spark_entry__.queries()) and __spark_entry__.oracle_sql() == catalogue.ORACLES
+
+
 def test_interval_union(spark):
     rows = [("a", 1, 12), ("a", 13, 14), ("a", 5, 6), ("b", 1, 1), ("b", 3, 3), ("c", None, 4), ("c", 9, 2), ("a", 1, 12)]
     df = spark.createDataFrame(rows, "k string, s int, e int")

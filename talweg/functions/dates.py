@@ -23,32 +23,55 @@ def _month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MONTHS.items())), name)
 
 
-def _iso(year: Column, month: Column) -> Column:
-    y, m = year.try_cast("int"), month.try_cast("int")
-    return F.when(y.between(FIRST_YEAR, LAST_YEAR), F.when(m.between(1, 12), F.format_string("%d-%02d", y, m)).otherwise(y.cast("string")))
+def _shown(year: Column, month: Column) -> Column:
+    """YYYY-MM, the year alone where the month is none, null for a year out of bounds."""
+    bounded = year.between(FIRST_YEAR, LAST_YEAR)
+    return F.when(bounded, F.concat_ws("-", year.cast("string"), F.when(month.between(1, 12), F.lpad(month.cast("string"), 2, "0"))))
 
 
 def month_of(text: Column) -> Column:
-    """YYYY-MM or YYYY of free text, else null: five patterns, the first that is found decides, even if it yields nothing."""
-    s = F.trim(F.lower(fold(text)))
-    take = lambda p, k: F.regexp_extract(s, p, k)
-    my, ym = r"(?U)\b(\d{1,2})[/.-](\d{4})\b", r"(?U)\b(\d{4})[/.-](\d{1,2})\b"
-    dmy, named, year = r"(?U)\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})\b", r"(?U)\b([a-z]{3,10})\.?\s+(\d{4})\b", r"(?U)\b(\d{4})\b"
-    full = F.when(F.length(take(dmy, 3)) == 2, F.concat(F.lit("20"), take(dmy, 3))).otherwise(take(dmy, 3))
-    return (
-        F.when(s.rlike(my), _iso(take(my, 2), take(my, 1)))
-        .when(s.rlike(ym), _iso(take(ym, 1), take(ym, 2)))
-        .when(s.rlike(dmy), _iso(full, take(dmy, 2)))
-        .when(_month_number(take(named, 1)).isNotNull(), _iso(take(named, 2), _month_number(take(named, 1))))
-        .otherwise(_iso(take(year, 1), F.lit(None).cast("string")))
-    )
+    """YYYY-MM or YYYY of free text, else null.
+
+    The text is cut into figures, words and the signs between them, each with the two that follow. The first pair of
+    figures decides in this order of kinds, even if its year is out of bounds: two figures or fewer before four, four
+    before two or fewer, three figures of which the middle is the month, a word before four figures (one full stop and
+    blanks may part them) if it is a month's name, and at last four figures alone.
+    """
+    none = F.lit(None).cast("int")
+    number = lambda v: v.try_cast("int")
+    figures = lambda v, low, high: F.coalesce(v.rlike("^[0-9]+$") & F.length(v).between(low, high), F.lit(False))
+    sign = lambda v: F.coalesce(v.isin("/", ".", "-"), F.lit(False))
+
+    def judged(r: Column, k: Column) -> Column:
+        """kind, place, year and month of a piece; null if it begins none."""
+        a, x, b, y, c = (r[str(i)] for i in range(5))
+        told = lambda kind, year, month: F.struct(F.lit(kind).alias("kind"), k.alias("place"), year.alias("y"), month.alias("m"))
+        century = F.when(F.length(c) == 2, number(c) + 2000).otherwise(number(c))
+        word = F.coalesce(a.rlike("^[a-z]{3,10}$") & x.rlike(r"(?U)^\.?\s+$"), F.lit(False)) & figures(b, 4, 4)
+        return (
+            F.when(figures(a, 1, 2) & sign(x) & figures(b, 4, 4), told(1, number(b), number(a)))
+            .when(figures(a, 4, 4) & sign(x) & figures(b, 1, 2), told(2, number(a), number(b)))
+            .when(figures(a, 1, 2) & sign(x) & figures(b, 1, 2) & sign(y) & figures(c, 2, 4), told(3, century, number(b)))
+            .when(word, told(4, number(b), _month_number(a)))
+            .when(figures(a, 4, 4), told(5, number(a), none))
+        )
+
+    def decided(found: Column) -> Column:
+        best = F.array_min(found)
+        year = F.array_min(F.filter(found, lambda f: f["kind"] == 5))
+        return F.when((best["kind"] == 4) & best["m"].isNull(), _shown(year["y"], none)).otherwise(_shown(best["y"], best["m"]))
+
+    # Each step is a lambda's argument, so that it is computed once.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    pieces = F.regexp_extract_all(F.lower(fold(text)), F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    rows = lambda p: F.arrays_zip(*(F.slice(p, k, F.greatest(F.size(p), F.lit(1))) for k in range(1, 6)))
+    return once(pieces, lambda p: once(F.transform(rows(p), judged), decided))
 
 
 def month_number(iso: Column) -> Column:
     """Absolute month of YYYY-MM; a year alone is its January, and what is no number counts 0."""
-    y, m = F.get(F.split(iso, "-"), 0), F.get(F.split(iso, "-"), 1)
-    whole = lambda c, other: F.when(c.rlike("^[0-9]+$"), c.try_cast("int")).otherwise(other)
-    return F.coalesce(whole(y, 0), F.lit(0)) * 12 + F.coalesce(whole(m, 1), F.lit(1))
+    part = lambda k, other: F.coalesce(F.regexp_extract(iso, r"^([^-]*)(?:-([^-]*))?", k).try_cast("int"), F.lit(other))
+    return part(1, 0) * 12 + part(2, 1)
 
 
 def months_between(start: Column, end: Column) -> Column:

@@ -32,6 +32,10 @@ def canonical(terms: DataFrame, term: str, aliases: DataFrame, alias: str, name:
     return joined.withColumn("canonical", F.coalesce("_n", "_m")).drop("_tk", "_tc", "_k", "_n", "_c", "_m")
 
 
+#: Legal forms, which are no part of a company's name.
+LEGAL_FORMS = ("SARL", "SAS", "SASU", "EURL", "SA", "SCI", "GROUPE", "EI")
+
+
 def name_matches(expected: Column, candidate: Column) -> Column:
     """Whether 0.6 of a company's words (three letters or more, legal forms aside) are in the candidate; null if there is none to look for."""
     def norm(c: Column) -> Column:
@@ -40,23 +44,30 @@ def name_matches(expected: Column, candidate: Column) -> Column:
             s = F.replace(s, F.lit(a), F.lit(b))
         return F.trim(F.regexp_replace(F.regexp_replace(fold(F.upper(s)), "[^A-Z0-9 ]", " "), " +", " "))
 
-    words = F.filter(F.split(norm(expected), " "), lambda w: (F.length(w) >= 3) & ~w.isin("SAS", "SARL", "SASU", "EURL", "SCI", "SNC", "SCOP", "SELARL"))
+    words = F.filter(F.split(norm(expected), " "), lambda w: (F.length(w) >= 3) & ~w.isin(*LEGAL_FORMS))
     has = F.split(norm(candidate), " ")
     found = F.size(F.filter(words, lambda w: F.array_contains(has, w)))
     return F.when(F.coalesce(F.size(words), F.lit(0)) > 0, found >= F.ceil(F.size(words) * 0.6))
 
 
+#: The kinds of documents in the order in which they are looked for, and the phrases of which one marks them.
+DOCUMENT_PHRASES = {
+    "kbis": ("EXTRAIT KBIS", "K BIS", "GREFFE DU TRIBUNAL DE COMMERCE"),
+    "urssaf": ("ATTESTATION DE VIGILANCE", "URSSAF"),
+    "fiscale": ("REGULARITE FISCALE", "DECLARATIONS FISCALES", "ATTESTATION FISCALE"),
+    "rib": ("RELEVE D IDENTITE BANCAIRE", " IBAN ", " BIC "),
+    "cni": ("CARTE NATIONALE D IDENTITE", "PIECE D IDENTITE", "PASSEPORT", "TITRE DE SEJOUR"),
+}
+
+
 def document_type(text: Column) -> Column:
-    """By ordered patterns of the upper-cased text."""
-    t = fold(F.upper(text))
-    return (
-        F.when(t.rlike("EXTRAIT KBIS|K BIS|GREFFE DU TRIBUNAL DE COMMERCE"), "kbis")
-        .when(t.rlike("VIGILANCE") & t.rlike("URSSAF"), "urssaf")
-        .when(t.rlike("REGULARITE FISCALE"), "fiscale")
-        .when(t.rlike(r"\bIBAN\b|RELEVE D.IDENTITE BANCAIRE"), "rib")
-        .when(t.rlike("CARTE NATIONALE D.IDENTITE|PASSEPORT"), "identity")
-        .otherwise("")
-    )
+    """The first kind of which a phrase is in the text in capitals without accents, whatever signs stand between its words; empty if none."""
+    plain = F.concat(F.lit(" "), F.regexp_replace(fold(F.upper(text)), "[^A-Z0-9]+", " "), F.lit(" "))
+    kind = F.lit("")
+    for name, phrases in reversed(DOCUMENT_PHRASES.items()):
+        there = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(plain, p))
+        kind = F.when(there, name).otherwise(kind)
+    return kind
 
 
 def phone_e164(c: Column) -> Column:

@@ -10,25 +10,44 @@ from talweg.functions.checks import digits_status
 from talweg.functions.scores import ratio
 from talweg.functions.text import fold
 
-_SPLIT = r"(?U)\s(?:[-–—−]{1,2}|a|au|to|until|jusqu.?\s*(?:au?|en))\s"
+# Words that stand between the two dates of a period, signs that part the items of a list, the words for `and`,
+# and the parts of words that name degrees by level, the highest first; a blank is the edge of a word.
+BETWEEN = ("-", "--", "a", "au", "to", "until", "jusqu", "jusqua", "jusquau", "jusquen")
+PARTING = (",", ";", "•", "·", "|")
+AND = ("/", "&", "et")
+DEGREES = {
+    "bac+8": (" doctorat", "phd "),
+    "bac+5": (" master", "mba", "msc", "ingenieur", "dess", "bac+5 "),
+    "bac+3": (" licence", "bachelor", "bac+3 "),
+    "bac+2": (" bts", "dut", "but", "bac+2 "),
+}
+
+
+def _tokens(text: Column) -> Column:
+    """Words between white space."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def with_period(df: DataFrame, text: str) -> DataFrame:
-    """`df` with begin, finish, running: two dates around a separator that stands between spaces. A mark of a running mission counts in the end alone; without a separator the whole is one date, which is both ends unless it runs.
+    """`df` with begin, finish, running: two dates around the first word that may stand between dates, itself between spaces. A mark of a running mission counts in the end alone; without such a word the whole is one date, which is both ends unless it runs.
 
     The steps are columns of their own: written as one expression they would not fit into one generated method.
     """
-    s, first = F.col("_s"), F.regexp_substr("_s", F.lit(f"(?i){_SPLIT}"))
-    at = F.instr(s, F.coalesce("_cut", F.lit("\u0001")))
-    out = df.withColumn("_s", F.trim(fold(F.coalesce(text, F.lit(""))))).withColumn("_cut", first)
-    out = out.withColumns({"_left": F.substr(s, F.lit(1), F.greatest(at - 1, F.lit(0))), "_right": F.substr(s, at + F.length(F.coalesce("_cut", F.lit(""))))})
+    words = _tokens(fold(F.coalesce(text, F.lit(""))))
+    bare = F.transform("_words", lambda w: F.lower(F.translate(w, "–—−’'`", "---")))
+    inner = F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("_words") - 1))
+    at = F.get(F.filter(inner, lambda k: (k < F.size("_words")) & F.get("_bare", k - 1).isin(*BETWEEN)), 0)
+    joined = lambda w: F.array_join(w, " ")
+    out = df.withColumn("_words", words).withColumn("_bare", bare).withColumn("_at", at)
+    parted = F.col("_at").isNotNull()
+    out = out.withColumns({"_s": joined("_words"), "_left": F.when(parted, joined(F.slice("_words", F.lit(1), F.greatest(F.col("_at") - 1, F.lit(0))))), "_right": F.when(parted, joined(F.slice("_words", F.coalesce(F.col("_at") + 1, F.lit(1)), F.size("_words"))))})
     out = out.withColumn("_dates", F.explode(F.array(F.transform(F.array("_left", "_right", "_s"), lambda x: dates.month_of(x)))))
     left, right, whole = (F.get("_dates", k) for k in range(3))
-    two = F.col("_cut").isNotNull() & left.isNotNull()
-    running = F.when(s == "", False).when(two, dates.still_running(F.col("_right"))).otherwise(dates.still_running(s))
+    two = parted & left.isNotNull()
+    running = F.when(F.col("_s") == "", False).when(two, dates.still_running(F.col("_right"))).otherwise(dates.still_running(F.col("_s")))
     out = out.withColumns({"begin": F.when(two, left).otherwise(whole), "running": running})
     out = out.withColumn("finish", F.when(~F.col("running"), F.when(two, right).otherwise(whole)))
-    return out.drop("_s", "_cut", "_left", "_right", "_dates")
+    return out.drop("_words", "_bare", "_at", "_s", "_left", "_right", "_dates")
 
 
 def period_label(start: Column, end: Column, running: Column) -> Column:
@@ -43,15 +62,21 @@ def last_year(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    """Items between commas, bars and the like; a slash parts only between spaces."""
-    parts = F.split(text, r"(?i)\s*[,;•·|]\s*|\s+/\s+|\s+&\s+|\s+et\s+")
-    cut = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"^[-–—:\s]+|[.\s]+\z", "")))
+    """Items of 2 to 44 characters; a slash, an ampersand or a word for `and` parts only where it stands alone between spaces. Dashes and colons before an item and full stops after it go."""
+    alone = rf"(?i)(?<=\s)(?:{'|'.join(AND)})(?=\s)"
+    bars = F.regexp_replace(F.translate(text, "".join(PARTING), "\u0001" * len(PARTING)), alone, "\u0001")
+    items = F.split(bars, "\u0001")
+    cut = F.transform(items, lambda x: F.rtrim(F.ltrim(x, F.lit("-–—: \n\t")), F.lit(". \n\t")))
     return F.filter(cut, lambda x: F.length(x).between(2, 44))
 
 
 def degree_level(text: Column) -> Column:
-    t = F.lower(fold(text))
-    return F.when(t.rlike(r"\bdoctorat|phd\b"), "bac+8").when(t.rlike(r"\bmaster|mba|msc|ingenieur|dess|bac\s*\+\s*5\b"), "bac+5").when(t.rlike(r"\blicence|bachelor|bac\s*\+\s*3\b"), "bac+3").when(t.rlike(r"\bbts|dut|but|bac\s*\+\s*2\b"), "bac+2").otherwise("")
+    """The highest level of which a name is in the text; blanks around a plus don't count. Empty if none."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(fold(text)), r"\s*\+\s*", "+"), "[^a-z0-9+]+", " ")
+    padded, level = F.concat(F.lit(" "), words, F.lit(" ")), F.lit("")
+    for name, degrees in reversed(DEGREES.items()):
+        level = F.when(F.exists(F.array(*map(F.lit, degrees)), lambda d: F.contains(padded, d)), name).otherwise(level)
+    return level
 
 
 def need_of_text(text: Column) -> Column:

@@ -46,7 +46,7 @@ _cases("num_05_social_and_vat", {"nir": "string", "vat": "string"}, [("1 84 12 7
 _cases("num_06_phones", {"v": "string"}, [("06 12 34 56 78", True), ("+33 (0)6 12 34 56 78", True), ("+33 612345678", True), ("06 12 34", False)], {"ok": lambda: checks.phone_valid(C("v"))})
 _cases(
     "dat_01_month_of_text", {"v": "string"},
-    [("04/2025", "2025-04"), ("2025-04", "2025-04"), ("12/04/2025", "2025-04"), ("Août 2019", "2019-08"), ("févr. 2020", "2020-02"), ("depuis 2015", "2015"), ("13/2020", "2020"), ("réf 9999", None), ("bientôt", None), (None, None), ("1/2/19", "2019-02")],
+    [("04/2025", "2025-04"), ("2025-04", "2025-04"), ("12/04/2025", "2025-04"), ("Août 2019", "2019-08"), ("févr. 2020", "2020-02"), ("depuis 2015", "2015"), ("13/2020", "2020"), ("réf 9999", None), ("bientôt", None), (None, None), ("1/2/19", "2019-02"), ("promo 2015, mars 2019", "2015"), ("le 3 mars 1890 ou 2001", None), ("x2019 et 2018a 2017", "2017"), ("2020-04-15", "2020-04"), ("", None)],
     {"iso": lambda: dates.month_of(C("v"))},
 )
 _cases("dat_02_durations", {"a": "string", "b": "string"}, [("2020-01", "2020-12", 12), ("2020-03", "2020-03", 1), ("2021", "2020-12", 0), ("2019", "2020", 13)], {"months": lambda: dates.months_between(C("a"), C("b"))})
@@ -96,10 +96,19 @@ def _(spark, d):
     return table(spark, d, "documents").where(C("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 0).alias("email"))
 
 
-@query("pii_04_counts", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{16}')) AS cards FROM documents WHERE regexp_matches(text, '[0-9]{16}')")
+@query(
+    "pii_04_counts",
+    """SELECT * FROM (SELECT doc_id,
+        len(list_filter(regexp_extract_all(text, '\\b[0-9]{13,19}\\b'), lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN CAST(x[i] AS INT) ELSE CAST(x[i] AS INT) * 2 // 10 + CAST(x[i] AS INT) * 2 % 10 END)) % 10 = 0)) AS cards,
+        len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,24}')) AS emails
+        FROM documents) WHERE cards > 0 OR emails > 0""",
+)
 def _(spark, d):
-    found = F.regexp_extract_all("text", F.lit("([0-9]{16})"), F.lit(1))
-    return table(spark, d, "documents").where(C("text").rlike("[0-9]{16}")).select("doc_id", F.size(found).cast("long").alias("cards"))
+    """Cards (13 to 19 digits together that pass Luhn's check) and e-mail addresses of each document that has any."""
+    cards = F.filter(F.regexp_extract_all("text", F.lit(r"(\b[0-9]{13,19}\b)"), F.lit(1)), lambda x: F.call_function("luhn_check", x))
+    emails = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"), F.lit(0))
+    counted = table(spark, d, "documents").where(C("text").rlike("@|[0-9]{13}")).select("doc_id", F.size(cards).cast("long").alias("cards"), F.size(emails).cast("long").alias("emails"))
+    return counted.where("cards > 0 or emails > 0")
 
 
 @query("cry_01_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")

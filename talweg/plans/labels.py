@@ -12,7 +12,7 @@ from talweg.sources.tables import table
 C = F.col
 _cases("str_03_label_key", {"v": "string"}, [("  Développeur_Java ", "developpeur java", "developpeurjava"), ("C++", "c++", "c++"), ("(Node.js)", "node.js", "nodejs"), ("L’équipe—IT", "l'equipe it", "lequipeit"), (None, None, None)], {"label": lambda: labels.label_key(C("v")), "compact": lambda: labels.compact_key(C("v"))})
 _cases("str_08_company_names", {"a": "string", "b": "string"}, [("Cœur de Ville SAS", "Société COEUR DE VILLE", True), ("Alpha Beta Gamma", "alpha sarl", False), ("SAS", "x", None), (None, "x", None), ("Été & Fils", "ETE FILS", True)], {"same": lambda: labels.name_matches(C("a"), C("b"))})
-_cases("str_09_document_type", {"t": "string"}, [("Extrait Kbis du 3", "kbis"), ("Attestation de vigilance Urssaf", "urssaf"), ("vigilance seule", ""), ("Relevé d'identité bancaire", "rib"), ("Attestation de régularité fiscale", "fiscale"), ("Passeport", "identity")], {"kind": lambda: labels.document_type(C("t"))})
+_cases("str_09_document_type", {"t": "string"}, [("Extrait Kbis du 3", "kbis"), ("Attestation de vigilance Urssaf", "urssaf"), ("vigilance seule", ""), ("Relevé d'identité bancaire", "rib"), ("Attestation de régularité fiscale", "fiscale"), ("Passeport", "cni"), ("Urssaf", "urssaf"), ("attestation fiscale", "fiscale"), ("code BIC : X", "rib"), ("Titre de séjour", "cni"), ("cubic", ""), ("", "")], {"kind": lambda: labels.document_type(C("t"))})
 _cases("str_12_phone", {"v": "string"}, [("06 12 34 56 78", "+33612345678"), ("0033 6 12 34 56 78", "+33612345678"), ("+33 (0)6 12 34 56 78", "+33612345678"), ("+44 20 7946 0958", "+442079460958"), ("123", None)], {"e164": lambda: labels.phone_e164(C("v"))})
 _cases("str_27_language_level", {"v": "string"}, [("natif", "C2"), ("TOEIC 880", "B2"), ("courant, TOEIC : 600", "C1"), ("lu, écrit", None), ("Débutant", "A1"), ("TCF 350", "A2"), ("toefl ibt 95", "C1"), (None, None)], {"level": lambda: labels.language_level(C("v"))})
 _cases("str_23_template", {"t": "string", "n": "string"}, [("Contrat {{numero}} de {{nom}}{{finClause}}.", "A1", "Contrat A1 de .........")], {"text": lambda: labels.filled(C("t"), F.create_map(F.lit("numero"), C("n")))})

@@ -11,7 +11,7 @@ from talweg.plans.registry import query
 from talweg.sources.tables import table
 
 C = F.col
-_PERIODS = [("Septembre 2019 - Février 2022", "2019-09", "2022-02", False), ("Mars 2019 – Aujourd'hui", "2019-03", None, True), ("2015 à 2018", "2015", "2018", False), ("2019-03", "2019-03", "2019-03", False), ("", None, None, False), (None, None, None, False), ("juin 2020 to présent", "2020-06", None, True)]
+_PERIODS = [("Septembre 2019 - Février 2022", "2019-09", "2022-02", False), ("Mars 2019 – Aujourd'hui", "2019-03", None, True), ("2015 à 2018", "2015", "2018", False), ("2019-03", "2019-03", "2019-03", False), ("", None, None, False), (None, None, None, False), ("juin 2020 to présent", "2020-06", None, True), ("mars 2018 jusqu’au 04/2019", "2018-03", "2019-04", False), ("03/2018 jusqu'en juin 2019", "2018-03", "2019-06", False), ("mai 2016 -- mai 2017", "2016-05", "2017-05", False)]
 
 
 @query("dat_03_periods", _sql("v, begin, finish, running", _PERIODS).replace(" begin,", ' "begin",'))
@@ -21,8 +21,8 @@ def _(spark, d):
 
 _cases("dat_07_period_label", {"a": "string", "b": "string", "r": "boolean"}, [("2025-04", "2026-07", False, "04/2025 – 07/2026"), ("2019", None, True, "depuis 2019"), ("2019", "2019", False, "2019"), ("", "2020", False, ""), (None, None, False, "")], {"label": lambda: records.period_label(C("a"), C("b"), C("r"))})
 _cases("dat_08_last_year", {"v": "string"}, [("2010-2014, promo 2015", 2015), ("sans", None), (None, None)], {"y": lambda: records.last_year(C("v"))})
-_cases("str_15_list_split", {"v": "string"}, [("Java, CI/CD ; SAP / Oracle et - Git.", "Java|CI/CD|SAP|Oracle|Git"), ("a", ""), ("", "")], {"items": lambda: F.array_join(records.split_list(C("v")), "|")})
-_cases("str_29_degree_level", {"v": "string"}, [("Master 2", "bac+5"), ("Doctorat", "bac+8"), ("Ingénieur", "bac+5"), ("Licence pro", "bac+3"), ("BTS SIO", "bac+2"), ("Lycée", "")], {"level": lambda: records.degree_level(C("v"))})
+_cases("str_15_list_split", {"v": "string"}, [("Java, CI/CD ; SAP / Oracle et - Git.", "Java|CI/CD|SAP|Oracle|Git"), ("a", ""), ("", ""), ("Power BI & Excel ET – Word..", "Power BI|Excel|Word")], {"items": lambda: F.array_join(records.split_list(C("v")), "|")})
+_cases("str_29_degree_level", {"v": "string"}, [("Master 2", "bac+5"), ("Doctorat", "bac+8"), ("Ingénieur", "bac+5"), ("Licence pro", "bac+3"), ("BTS SIO", "bac+2"), ("Lycée", ""), ("Mastère", "bac+5"), ("bac + 3", "bac+3"), ("", "")], {"level": lambda: records.degree_level(C("v"))})
 _n = lambda: records.need_of_text(C("v"))
 _cases("sup_05_need_of_text", {"v": "string"}, [("Développeur\n8 ans d'expérience", "Développeur", 8, "senior"), ("\n  ", "", 0, ""), (None, "", 0, ""), ("Chef\n12 années", "Chef", 12, "expert")], {"title": lambda: _n()["title"], "least": lambda: _n()["least"], "level": lambda: _n()["level"]})
 _y = lambda: records.years_source(C("y"), C("ok"), C("told"))

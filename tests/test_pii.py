@@ -18,3 +18,32 @@ def test_keys(spark):
     got = pii.detected(df, "doc_id", "text").collect()
     assert len(got) == 4 and {len(r.spans) for r in got if r.doc_id == 2} == {1}
     assert pii.detected(df.where("false"), "doc_id", "text").count() == 0
+
+
+def _found(text, **more):
+    return [(kind, text[a:b]) for kind, a, b in pii.detect(text, **more)]
+
+
+def test_identity_rules():
+    assert _found("Nom : DUPONT, signé par Sophie Martin, Dr Ada Byron") == [("identite", "DUPONT"), ("identite", "Sophie Martin"), ("identite", "Ada Byron")]
+    assert _found("Oussama NIDHAMMOU, Apache SPARKS, Langage HTML") == [("identite", "Oussama NIDHAMMOU")]
+    assert _found("Karim ben Ali ; ALI Karim") == []
+    assert _found("Karim ben Ali ; ALI Karim", first_names={"karim"}) == [("identite", "Karim ben Ali"), ("identite", "ALI Karim")]
+    assert _found("Marie Curie\nCurie, physique", header=True) == [("identite", "Marie Curie"), ("identite", "Curie")]
+
+
+def test_words_of_mail_names_are_found_elsewhere():
+    assert _found("karim.benali (at) societe . fr: Bénali, KARIM, benalis") == [("email", "karim.benali (at) societe . fr"), ("identite", "Bénali"), ("identite", "KARIM")]
+    assert _found("İ Jean.Dupont@x.org İ dupont")[-1] == ("identite", "dupont")
+
+
+def test_layouts():
+    assert _found("(+33) 680 988 967, +33 (0)6 12 34 56 78, 06 12 34 56 7") == [("telephone", "(+33) 680 988 967"), ("telephone", "+33 (0)6 12 34 56 78")]
+    assert _found("Le Kremlin Bicetre 94270; 12/04/2025; 45/04/2025; 4111 1111 1111 1111; 4111 1111 1111 1112") == [("adresse", "Kremlin Bicetre 94270"), ("date", "12/04/2025"), ("carte", "4111 1111 1111 1111")]
+    assert _found("FR 40 303 265 045 pour 1 234 567,89 euros, 1234 €") == [("tva", "FR 40 303 265 045"), ("montant", "1 234 567,89 euros")]
+    assert _found("https://www.linkedin.com/in/ada le 1er août 1999") == [("lien", "https://www.linkedin.com/in/ada"), ("date", "1er août 1999")]
+
+
+def test_long_texts_are_read_whole():
+    text = "1 " * 20000 + "a@b.fr"
+    assert _found(text)[-1] == ("email", "a@b.fr")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,13 +40,16 @@ VOCABULARY, END_ID, MEMORY, RANGE = "word_bpe_49k.json", 1, 400_000, 16 << 20
 
 #: The split for which texts may be cut at spaces and words be encoded by themselves.
 _BY_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that keep their number as small letters and have no other normal form (U+0130 has one), and what may stand after them.
+_LATIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+)([.,]?)")
 
 
 class WordEncoder:
     """Texts to flat bytes of `dtype`, with a bounded memory of words.
 
-    New words of letters alone are encoded many at a time, parted by spaces, and told apart by the tokens that end a
-    word; a word with one full stop or comma after it is two matches of the tokenizer's split, so two entries together,
+    New words of Latin letters, perhaps with a full stop or comma after them, go to the tokenizer's model as its normaliser
+    and split would hand them over: small letters, as bytes. Other words of letters alone are encoded many at a time,
+    parted by spaces, and told apart by the tokens that end a word; a word with one full stop or comma after it is two matches of the tokenizer's split, so two entries together,
     if it is of letters alone once normalised too (a combining mark at its end, as of U+0130 in small letters, would join
     the stop); all else is encoded by itself. All this holds for tokenizers that normalise and split as `_BY_WORDS` does;
     with any other, texts are encoded whole.
@@ -53,6 +57,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -60,10 +65,15 @@ class WordEncoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.known, self.old = {}, {}
+        self.marks = {x: ids.tobytes() for x, ids in zip(".,", self._ids([".", ","]), strict=True)}
         told = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and split == [_BY_WORDS, None] and bool(suffix)
+        last = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[-1]
+        as_bytes = last.get("type") == "ByteLevel" and not last["add_prefix_space"] and not last["use_regex"]
+        self.by_words = kinds == ["NFC", "Replace", "Lowercase"] and split == [_BY_WORDS, None] and bool(suffix) and as_bytes
+        self.bytes_of = [np.array([i], self.dtype).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.latin = {ord(c): "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)) for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,9 +84,18 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         known, old = self.known, self.old
         words, stops, others = set(), [], []
+        latin, model, bytes_of, table = _LATIN.fullmatch, self.tokenizer.model.tokenize, self.bytes_of, self.latin
         for x in new:
             if x in old:
                 known[x] = old[x]
+            elif m := latin(x):
+                word, stop = m.groups()
+                ids = known.get(word) or old.get(word)
+                if ids is None:
+                    plain = word.lower()
+                    ids = known[word] = b"".join([bytes_of[t.id] for t in model(plain if plain.isascii() else plain.translate(table))])
+                if stop:
+                    known[x] = ids + self.marks[stop]
             elif x.isalpha():
                 words.add(x)
             elif x[-1:] in (".", ",") and self._of_letters(x[:-1]):

@@ -552,10 +552,11 @@ def _(spark, d):
 # --- sets --------------------------------------------------------------------------------------------------------
 
 
-@query("set_01_differences", "SELECT side, word FROM ((SELECT 'left' AS side, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_partkey < 40 EXCEPT SELECT 'left', unnest(string_split(p_name, ' ')) FROM part WHERE p_partkey BETWEEN 40 AND 50) UNION ALL (SELECT 'right', unnest(string_split(p_name, ' ')) FROM part WHERE p_partkey BETWEEN 40 AND 50 EXCEPT SELECT 'right', unnest(string_split(p_name, ' ')) FROM part WHERE p_partkey < 40))")
+@query("set_01_differences", "SELECT side, word FROM ((SELECT 'left' AS side, unnest(string_split(lower(p_name), ' ')) AS word FROM part EXCEPT SELECT 'left', unnest(string_split(lower(p_type), ' ')) FROM part) UNION ALL (SELECT 'right', unnest(string_split(lower(p_type), ' ')) FROM part EXCEPT SELECT 'right', unnest(string_split(lower(p_name), ' ')) FROM part))")
 def _(spark, d):
-    words = lambda c: table(spark, d, "part").where(c).select(F.explode(F.split("p_name", " ")).alias("word"))
-    a, b = words("p_partkey < 40"), words("p_partkey between 40 and 50")
+    """The words of all names against those of all types, both ways."""
+    words = lambda c: table(spark, d, "part").select(F.explode(F.split(F.lower(c), " ")).alias("word"))
+    a, b = words("p_name"), words("p_type")
     return a.subtract(b).select(F.lit("left").alias("side"), "word").union(b.subtract(a).select(F.lit("right"), "word"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talweg.functions import scores
+from talweg.operators import matching
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.checks import _cases
 from talweg.plans.registry import query
@@ -62,6 +63,22 @@ def _(spark, d):
     return _totals(spark, d).select("s_suppkey", "p_partkey", F.when(kept, F.row_number().over(w)).alias("rank"))
 
 
+@query("sco_07_whole_engine")
+def _(spark, d):
+    """All six parts and the rank over the threshold of 80, of the stated needs and every part: names are titles and skills, sizes years, types what was done, prices of 1000 and more a certificate. Matching blocks have no SQL."""
+    need = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(
+        "s_suppkey", F.lit("small red ring").alias("need_title"), F.array(F.lit("red"), F.lit("ring")).alias("required"), (C("s_nationkey") % 4 * 3).alias("least"),
+        F.element_at(F.array(*map(F.lit, ("", "junior", "senior", "expert"))), (C("s_nationkey") % 4 + 1).cast("int")).alias("level"), F.lit("").alias("client"), F.lit("economy").alias("sector"),
+        F.lit(None).cast("string").alias("context"), F.array(F.lit("small")).alias("languages"), F.lit("Brand#1").alias("place"), F.lit("remote").alias("remote"), F.lit("promo").alias("contract"),
+    )
+    part = table(spark, d, "part").select(
+        "p_partkey", C("p_name").alias("title"), F.split("p_name", " ").alias("skills"), C("p_size").alias("years"), F.lit("1 mois").alias("status"), F.concat_ws(" ", "p_name", "p_type").alias("text"),
+        C("p_name").alias("done"), C("p_name").alias("spoken"), (C("p_retailprice") >= 1000).cast("int").alias("certificates"), C("p_brand").alias("home"),
+    )
+    rows = matching.ranked(matching.scored(queries_in_blocks(part, need, "s_suppkey")), "s_suppkey", "p_partkey")
+    return rows.select("s_suppkey", "p_partkey", *(f"{p}_points" for p in matching.PARTS), "missing", "total", "band", "rank")
+
+
 @query("sco_02_title")
 def _(spark, d):
     """Titles compared by matching blocks, which SQL lacks; each distinct pair once."""

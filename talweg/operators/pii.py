@@ -223,7 +223,7 @@ def _date(r: Reading) -> Iterator[tuple[int, int]]:
 
 
 _WAY = re.compile(rf"(?<![{_UP}{_LOW}])(?:{'|'.join(sorted((w.replace('-', '[- ]') for w in WAYS + tuple(plain(w) for w in WAYS)), key=len, reverse=True))})\.? +(?=[{_UP}{_LOW}0-9'’-])", re.IGNORECASE)
-_NUMBER_BEFORE = re.compile(r"(?<!\w)[0-9]{1,4} ?(?:bis|ter|quater)?[ ,]{0,3}\Z", re.IGNORECASE)
+_TO_WAY = re.compile(r" ?(?:bis|ter|quater)?[ ,]{0,3}", re.IGNORECASE)
 _PLACE = re.compile(rf"[{_UP}{_LOW}0-9'’ -]{{3,46}}")
 _TOWN = re.compile(rf" ?(?:- ?)?([{_UP}][{_UP}{_LOW}'’ -]{{2,30}})")
 
@@ -231,11 +231,11 @@ _TOWN = re.compile(rf" ?(?:- ?)?([{_UP}][{_UP}{_LOW}'’ -]{{2,30}})")
 def _address(r: Reading) -> Iterator[tuple[int, int]]:
     """A number, a kind of way and its name; a postcode and a town; a town of at most three words and a postcode."""
     t = r.text
-    for m in _WAY.finditer(t):
-        low = max(0, m.start() - 16)
-        number, name = _NUMBER_BEFORE.search(t[low : m.start()]), _PLACE.match(t, m.end())
-        if number and name and not re.search(r"\bau *\Z", name[0], re.IGNORECASE):
-            yield low + number.start(), name.end()
+    for a, b in ((a, b) for groups in r.runs for a, b in groups if b - a <= 4 and t[a:b].isdigit() and not (a and (t[a - 1].isalnum() or t[a - 1] == "_"))):
+        way = _WAY.match(t, _TO_WAY.match(t, b).end())
+        name = way and _PLACE.match(t, way.end())
+        if name and not re.search(r"\bau *\Z", name[0], re.IGNORECASE):
+            yield a, name.end()
     codes = [(a, b) for groups in r.runs for a, b in groups if b - a == 5 and t[a:b].isdigit() and postcode_ok(t[a:b]) and not t[a - 1 : a].isalnum()]
     for a, b in codes:
         if town := _TOWN.match(t, b):

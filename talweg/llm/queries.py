@@ -4,7 +4,11 @@ from talweg.llm.bpe import op2_bpe
 from talweg.llm.decontaminate import op6_decontaminate
 from talweg.llm.decontaminate import oracle as decontaminate_oracle
 from talweg.llm.licenses import op3_licenses
+from talweg.llm.linededup import op11_lines
+from talweg.llm.linededup import oracle as lines_oracle
 from talweg.llm.media import op7_media
+from talweg.llm.merkle import op13_manifest
+from talweg.llm.merkle import oracle as manifest_oracle
 from talweg.llm.neardup import op1_neardup
 from talweg.llm.quality import op5_quality
 from talweg.llm.secrets import op4_secrets
@@ -24,5 +28,7 @@ QUERIES = {
     "op8_tokenfiles": op8_tokenfiles,
     "op9_toxicity": op9_toxicity,
     "op10_urls": op10_urls,
+    "op11_lines": op11_lines,
+    "op13_manifest": op13_manifest,
 }
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate_oracle(), "op10_urls": urls_oracle()}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate_oracle(), "op10_urls": urls_oracle(), "op11_lines": lines_oracle(), "op13_manifest": manifest_oracle()}

@@ -49,17 +49,18 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch of at most 1024 rows; what it returns None for is left out.
-
-    The session's Arrow batches are held to 1024 rows and 16 MB, on which the memory of both sides depends; smaller settings stay.
-    The plan reads them when it runs, so they stay set.
-    """
-    conf = df.sparkSession.conf
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to 1024 rows and 16 MB, on which the memory of both sides depends; smaller settings stay.
+    The plan reads them when it runs, so they stay set."""
     for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 16 << 20)):
-        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
         if not now or not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with a function of one batch of at most 1024 rows; what it returns None for is left out."""
+    bounded_batches(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,7 @@ from talweg.llm.merkle import op13_manifest
 from talweg.llm.merkle import oracle as manifest_oracle
 from talweg.llm.neardup import op1_neardup
 from talweg.llm.quality import op5_quality
+from talweg.llm.repair import op12_repair
 from talweg.llm.secrets import op4_secrets
 from talweg.llm.tokenfiles import op8_tokenfiles
 from talweg.llm.toxicity import op9_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_urls": op10_urls,
     "op11_lines": op11_lines,
+    "op12_repair": op12_repair,
     "op13_manifest": op13_manifest,
 }
 ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate_oracle(), "op10_urls": urls_oracle(), "op11_lines": lines_oracle(), "op13_manifest": manifest_oracle()}

@@ -1,5 +1,7 @@
 """Plain versions of the operators, written from their contracts and docstrings. Nothing of the library is imported."""
 
+import hashlib
+import heapq
 import io
 import math
 import re
@@ -260,3 +262,106 @@ def ftrl(rows, epochs=8, l1=6.0, weight=2.0):
 
 def crc_mod(key, n):
     return zlib.crc32(str(key).encode()) % n
+
+
+# --- lines -------------------------------------------------------------------------------------------------------
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def kept_lines(docs):
+    """(id, lines, dropped, digest) of each (id, text); rows without an id are one document, after all others."""
+    key = lambda line: line.strip(WHITE).translate(UPPER)
+    holders = {}
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line), set()).add(math.inf if i is None else i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        stay = [x for x in lines if len(key(x)) < 10 or min(holders[key(x)]) == (math.inf if i is None else i)]
+        out.append((i, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    return out
+
+
+# --- conversations -----------------------------------------------------------------------------------------------
+
+
+def damage(rows):
+    """Rows (conv, turn, role, text) after damage, by conversation; a conversation may have none."""
+    out = {}
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        own = out.setdefault(conv, [])
+        if kind:
+            own += [(turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)] * (2 if kind == 3 else 1)
+    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode())) for c, r in out.items()}
+
+
+def repair(rows):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, digest of one conversation's (turn, role, text), by a search over whole strings of initials."""
+    turns = [t for t, _, _ in rows if t is not None]
+    faults = []
+    for k, (_, role, text) in enumerate(rows):
+        bare = text.strip(WHITE)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in [r[1:] for r in rows[:k]] else "truncated" if bare[-1] not in ".!?" else "")
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    fits = re.compile("s?(ua)*u?").fullmatch
+    best, todo = {}, [(0, "", 0, "", ())]
+    while todo:
+        cost, audit, k, initials, turned = heapq.heappop(todo)
+        if (k, initials) in best:
+            continue
+        best[k, initials] = (cost, audit, turned)
+        nxt = [(5, "I", k, initials + r, (*turned, f"{n}:")) for r, n in (("u", "user"), ("a", "assistant"))]
+        if k < len(rows):
+            _, role, text = rows[k]
+            nxt.append((2, "D", k + 1, initials, turned))
+            if faults[k] not in ("blank", "duplicate"):
+                more = 5 if faults[k] == "truncated" else 0
+                nxt.append((more, "K", k + 1, initials + role[:1], (*turned, f"{role}:{text}")))
+                nxt += [(1 + more, "R", k + 1, initials + n[0], (*turned, f"{n}:{text}")) for n in ("user", "assistant")]
+        for c, letter, at, own, out in nxt:
+            if fits(own) and len(own) <= len(rows) + 3 and cost + c <= 2 * len(rows):  # deleting all is always possible
+                heapq.heappush(todo, (cost + c, audit + letter, at, own, out))
+    cost, audit, turned = min(v for (k, own), v in best.items() if k == len(rows) and re.fullmatch("(s?(ua)+)?", own))
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *[faults.count(x) for x in ("blank", "duplicate", "truncated")], illegal, cost, audit, hashlib.sha256("\n".join(turned).encode()).hexdigest())
+
+
+# --- manifest ----------------------------------------------------------------------------------------------------
+
+
+def manifest(docs):
+    """(id, leaf, subroot, root, proof, folded, verified) of rows (doc_id, text, lang, source, n_chars)."""
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def leaf(i, text, lang, source, n):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (i, source, lang, n, text)))
+
+    def climb(nodes):
+        """The root, and of each node its runs with its place in them, level by level."""
+        ways, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            runs = [nodes[k : k + 8] for k in range(0, len(nodes), 8)]
+            for w, k in zip(ways, at, strict=True):
+                w.append((runs[k // 8], k % 8))
+            at, nodes = [k // 8 for k in at], [h("".join(r)) for r in runs]
+        return nodes[0], ways
+
+    by = {}
+    for row in docs:
+        by.setdefault(row[2], []).append((row[0] is not None, row[0] or 0, leaf(*row), row))
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: climb([v[2] for v in sorted(by[x], key=lambda v: v[:3])]) for x in langs}
+    root, tops = climb([trees[x][0] for x in langs])
+    out = []
+    for x, top in zip(langs, tops, strict=True):
+        for (_, _, own, row), way in zip(sorted(by[x], key=lambda v: v[:3]), trees[x][1], strict=True):
+            changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 and row[1] is not None
+            now = leaf(row[0], row[1].translate(UPPER), *row[2:]) if changed else own
+            for run, k in way + top:
+                now = h("".join(run[:k] + [now] + run[k + 1 :]))
+            proof = h("".join("".join(run[:k] + run[k + 1 :]) for run, k in way + top))
+            out.append((row[0], own, trees[x][0], root, proof, now, now == root))
+    return out

@@ -1,0 +1,112 @@
+"""Line deduplication, conversation repair and the manifest against plain versions, with nulls, ties and long groups."""
+
+import random
+from collections import Counter
+
+import pytest
+
+import brute
+from talweg.llm import linededup, merkle, repair
+from talweg.llm.common import table
+
+LINES = ["A line of its own here", "the same  Line", " THE SAME  LINE\t", "short", "exactly 10", "exactly_9", "Ünïcode LINE é", "Ünïcode line é", "ünïcode line é", "", "   ", "K" * 12, "K" * 12, "漢字漢字漢字漢字漢字"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, pos int, l0 string, h1 long"
+
+
+def documents(seed, n):
+    rng = random.Random(seed)
+    out = [(i, "\n".join(rng.choice(LINES) for _ in range(rng.randrange(8)))) for i in range(n)]
+    out += [(None, "the same line\nexactly 10"), (None, "only nameless rows\nshort"), (None, "only nameless rows"), (3, "the same line\nin three alone"), (3, "in three alone"), (n, None), (n + 1, ""), (n + 2, "very long line " * 3000 + "\n" + "\n".join(LINES) * 300)]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None if i is None or i % 5 == 0 else f"l{i % 3}", None if i == 2 else "s", i, "r", 1, "x", 7) for i, t in rows], SCHEMA)
+
+
+@pytest.mark.parametrize(("seed", "batches"), [(1, 1), (2, 4), (3, 7)])
+def test_lines(spark, seed, batches):
+    rows = documents(seed, 40)
+    got = linededup.dedup_lines(frame(spark, rows), batches).selectExpr("row.doc_id", "row.h1", "n_lines", "n_dropped", "sha2(kept, 256) AS kept").collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got) == Counter(brute.kept_lines(rows)) and {r.h1 for r in got} == {7}
+
+
+def test_lines_levels_and_salt(spark, monkeypatch, tmp_path):
+    """Eight batches leave one run a level; hot keys are cut in parts; a batch that comes again loses the same lines."""
+    monkeypatch.setattr(linededup, "MOST", 3)
+    monkeypatch.setattr("talweg.llm.neardup.MOST", 3)
+    docs = frame(spark, rows := documents(4, 60))
+    runs = linededup.LineRuns(spark, f"file://{tmp_path}/runs")
+    batches = linededup.in_batches(docs, 7)
+    for batch in batches:
+        runs.add(batch)
+    levels = [x for x, _ in runs.runs]
+    assert len(levels) == len(set(levels)) + (levels[-2:] == [0, 0]) and max(levels) >= 2
+    keys = [tuple(r) for _, name in runs.runs for r in runs.run(name).select("h1", "h2").collect()]
+    assert len(keys) == len(set(keys)) == linededup.occurrences(docs).select("h1", "h2").distinct().count()
+    assert sorted(map(str, runs.add(batches[0]).collect())) == sorted(map(str, runs.drops[0].collect()))
+    plan = linededup.occurrences(docs).groupBy("h1", "h2").count().hint("merge").join(runs.run(runs.runs[0][1]), ["h1", "h2"], "left")._jdf.queryExecution().toString()
+    assert plan.rpartition("Physical Plan")[2].count("Exchange") == 1  # of the batch, none of the run
+    monkeypatch.undo()
+    got = linededup.dedup_lines(docs, 7)
+    assert Counter(tuple(r) for r in got.selectExpr("row.doc_id", "n_lines", "n_dropped", "sha2(kept, 256)").collect()) == Counter(brute.kept_lines(rows))
+    assert linededup.dedup_lines(docs.where("false")).count() == 0
+
+
+def conversations(seed, n):
+    rng = random.Random(seed)
+    texts = ["Yes.", "No", "", " \t", "Done!  ", "Why?", "open end", "…", ". "]
+    rows = []
+    for conv in range(n):
+        for turn in range(rng.randrange(1, 9)):
+            rows.append((conv, None if rng.random() < 0.05 else turn * rng.choice((1, 1, 2)), rng.choice(["user", "assistant"] * 4 + ["system", "tool", "", None, "u"]), rng.choice(texts + [f"t{rng.random()}."] * 6 + [None])))
+    return rows + [(None, 0, "user", "a."), (None, None, None, None), (None, 0, "user", "a."), (n, 2, "system", "x" * 50_000 + ".")]
+
+
+def reports(df):
+    return {r.conv_id: tuple(r)[1:] for r in df.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()}
+
+
+@pytest.mark.parametrize("long", [10_000, 3, 0])
+def test_repair(spark, monkeypatch, long):
+    """All conversations in one pass; those of over three rows in blocks of three; all in blocks of one."""
+    monkeypatch.setattr(repair, "LONG", max(1, long))
+    if not long:
+        monkeypatch.setattr(repair, "LONG_BYTES", -1)
+    rows = conversations(long, 150)
+    want = {c: brute.repair(r) for c, r in brute.damage(rows).items()}
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, block string, at long")
+    got, turns = repair.repair(repair.damaged(df))
+    assert reports(got) == want
+    joined = {}
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.at, r.k)):
+        joined.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
+    assert {c: brute.hashlib.sha256("\n".join(joined.get(c, [])).encode()).hexdigest() for c in want} == {c: v[-1] for c, v in want.items()}
+    none = repair.repair(repair.damaged(df.where("false")))[0]
+    assert none.count() == 0
+
+
+def test_repair_of_a_table(spark):
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert reports(repair.op12_repair(spark, "/root/testdata/sf0.01")) == {c: brute.repair(r) for c, r in brute.damage(rows).items()}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_manifest(spark, monkeypatch, block):
+    monkeypatch.setattr(merkle, "BLOCK", block)
+    monkeypatch.setattr(merkle, "LEVELS", {512: 3, 8: 1}[block])
+    docs = frame(spark, documents(7, 150))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    tampered = merkle.F.coalesce(merkle.F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0, merkle.F.lit(False))
+    got = merkle.manifest(merkle.leaves(docs, tampered)).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.manifest(rows))
+    assert merkle.manifest(merkle.leaves(docs.where("false"))).count() == 0
+    one = docs.where("doc_id = 1")
+    assert [(r.leaf == r.subroot == r.root, r.verified) for r in merkle.manifest(merkle.leaves(one)).collect()] == [(True, True)]
+
+
+def test_manifest_of_many_langs(spark):
+    rows = [(k, f"Text {k % 7}", f"lang{k % 70}" if k % 70 else None, "s", k) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = merkle.manifest(merkle.leaves(docs)).collect()
+    assert {r.root for r in got} == {brute.manifest(rows)[0][3]} and all(r.verified for r in got)

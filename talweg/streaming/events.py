@@ -7,13 +7,12 @@ additions of this library.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talweg.sources.tables import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -26,8 +25,7 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="talweg-")
-    out = f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    out = shared_folder(spark, f"stream-{name}")
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/table")
     stream.writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/table/batch={k}")).option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")

@@ -19,5 +19,5 @@ ACCENTED, BASE = _accents()
 
 
 def fold(c: Column) -> Column:
-    """Without accents, one character for one, so that positions stay; combining marks are left out."""
+    """Without accents: letters with marks become their base letters, one for one, and combining marks are left out (positions after them move)."""
     return F.regexp_replace(F.translate(c, ACCENTED, BASE), "[̀-ͯ]", "")

@@ -89,5 +89,6 @@ def scored(pairs: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, need: str, candidate: str, threshold: float = RETAINED) -> DataFrame:
     """`rows` with band, and rank in the need by total, then candidate; those under the threshold have none."""
     kept = F.col("total") >= threshold
-    w = Window.partitionBy(need, kept).orderBy(F.desc("total"), candidate)
+    # those under the threshold need no order: each is a window of its own, so that a need sorts only what it retains
+    w = Window.partitionBy(need, kept, F.when(~kept, F.col(candidate))).orderBy(F.desc("total"), candidate)
     return rows.withColumns({"band": scores.band_a(F.col("total")), "rank": F.when(kept, F.row_number().over(w))})

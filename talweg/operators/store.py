@@ -29,7 +29,7 @@ def exists(df: DataFrame, condition: Column) -> DataFrame:
 def latest_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.row_number().over(w).alias("rank")).where("rank = 1").select("row.*")
 
 
 def newest(df: DataFrame, order: Sequence[Column], limit: int | None = None, leave_out: Sequence[str] = ()) -> DataFrame:

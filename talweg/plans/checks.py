@@ -116,13 +116,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("cry_02_envelope", "SELECT doc_id, true AS same FROM documents")
+@query("cry_02_envelope", "SELECT doc_id, true AS same, strlen(text) + 28 AS sealed_bytes FROM documents")
 def _(spark, d):
-    """AES-GCM with associated data, there and back; each row has a nonce of its own, made of its id, since GCM must never use one twice."""
-    nonce = F.unhex(F.substring(F.sha2(C("doc_id").cast("string"), 256), 1, 24))
+    """AES-GCM with associated data, there and back; the nonce is a keyed digest of id and text, since GCM must never use one for two texts: only equal rows share it, and then seal to equal bytes."""
+    nonce = F.unhex(F.substring(F.sha2(F.concat_ws(":", F.lit("0123456789abcdef"), C("doc_id").cast("string"), F.sha2("text", 256)), 256), 1, 24))
     key, aad = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.lit("registry").cast("binary")
     sealed = F.aes_encrypt(C("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad)
-    return table(spark, d, "documents").select("doc_id", (F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string") == C("text")).alias("same"))
+    same = F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string") == C("text")
+    return table(spark, d, "documents").select("doc_id", same.alias("same"), F.octet_length(sealed).cast("long").alias("sealed_bytes"))
 
 
 @query("vec_01_cosine", "SELECT b.vec_id, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000 + 0.5) / 10000 AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND len(a.embedding) = len(b.embedding)")

@@ -59,7 +59,7 @@ def _(spark, d):
 def _(spark, d):
     """Only what reaches the threshold has a rank."""
     kept = C("total") >= 50
-    w = Window.partitionBy("s_suppkey", kept).orderBy(F.desc("total"), "p_partkey")
+    w = Window.partitionBy("s_suppkey", kept, F.when(~kept, C("p_partkey"))).orderBy(F.desc("total"), "p_partkey")
     return _totals(spark, d).select("s_suppkey", "p_partkey", F.when(kept, F.row_number().over(w)).alias("rank"))
 
 

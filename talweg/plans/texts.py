@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import records, scores
 from talweg.functions.text import fold
-from talweg.operators import offers, search
+from talweg.operators import envelopes, offers, search
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.registry import query
 from talweg.sources.tables import stored, table
@@ -135,3 +135,66 @@ def _(spark, d):
     axes = _axes(spark, d)
     total = scores.profile_total(*[C(x) for x in ("technology", "functional", "seniority", "sector", "title")])
     return axes.select("offer", "profile", total.cast("long").alias("total"), scores.band_a(total).alias("band"))
+
+
+# --- envelopes built from the events: a name, three things done (one without a title), a list of plain values ---------------
+_ENVELOPE = (
+    "concat('{\"name\": {\"value\": \"', event_type, '\", \"confidence\": 0.', lpad(k, 2, '0'), ', \"evidence_ids\": [\"e', k, '\", \"\", 5]}, \"done\": [',"
+    " '{\"title\": {\"value\": \"', event_type, k, '\", \"confidence\": 0.5, \"evidence_ids\": []}, \"year\": ', y0, '}, ',"
+    " '{\"title\": {\"value\": null, \"confidence\": \"high\", \"evidence_ids\": [\"t', k, '\"]}, \"year\": ', y1, ', \"items\": [{\"item\": {\"value\": [1, {\"deep\": {\"value\": true, \"model_confidence\": 1}}], \"confidence\": 1}}]}, ',"
+    " '{\"year\": ', y2, ', \"extra\": {}}], \"tags\": [\"x\", ', k, ']}')"
+)
+_BUILT = f"SELECT event_id, y0, y1, y2, {_ENVELOPE} AS doc FROM (SELECT event_id, event_type, k, CAST(2000 + n % 7 AS STRING) AS y0, CAST(2000 + n % 5 AS STRING) AS y1, CAST(2000 + n % 3 AS STRING) AS y2 FROM (SELECT event_id, event_type, k, CAST(k AS INT) AS n FROM (SELECT event_id, event_type, @k AS k FROM events)))"
+_TREE = f"""built AS ({_BUILT.replace("@k", "json_extract_string(props, '$.k')")}),
+    tree AS (SELECT event_id, regexp_replace(substr(t.fullkey, 3), '\\.value\\b', '', 'g') AS path, t.type, t.atom, t.value, t.key FROM built, json_tree(doc) t)"""
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, y0 to y2, doc: a nested record for each event."""
+    events = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    years = events.withColumns({f"y{j}": (2000 + C("k").cast("int") % n).cast("string") for j, n in ((0, 7), (1, 5), (2, 3))})
+    return years.select("event_id", "y0", "y1", "y2", F.expr(_ENVELOPE).alias("doc"))
+
+
+def _record():
+    return F.try_parse_json("doc")
+
+
+@query(
+    "prj_06_plain_values",
+    f"""WITH {_TREE} SELECT event_id, path, CASE WHEN type IN ('OBJECT', 'ARRAY') THEN CAST(value AS VARCHAR) WHEN type <> 'NULL' THEN json_extract_string(atom, '$') END AS value
+    FROM tree WHERE (type NOT IN ('OBJECT', 'ARRAY') OR CAST(value AS VARCHAR) IN ('[]', '{{}}')) AND NOT regexp_matches(path, 'confidence$|evidence_ids')""",
+)
+def _(spark, d):
+    """The values of all records by dotted path, at any depth."""
+    return envelopes.flattened(_envelopes(spark, d), "event_id", _record())[0]
+
+
+_MARKS = f"""{_TREE},
+    sure AS (SELECT event_id, regexp_replace(path, '\\.confidence$', '') AS path, CAST(atom AS DOUBLE) AS confidence FROM tree WHERE key = 'confidence' AND type NOT IN ('VARCHAR', 'NULL')),
+    seen AS (SELECT event_id, regexp_replace(path, '\\.evidence_ids\\[\\d+\\]$', '') AS path, list(json_extract_string(atom, '$') ORDER BY path) AS evidence FROM tree WHERE regexp_matches(path, 'evidence_ids\\[') AND type = 'VARCHAR' AND json_extract_string(atom, '$') <> '' GROUP BY 1, 2),
+    marks AS (SELECT event_id, path, confidence, evidence FROM sure FULL JOIN seen USING (event_id, path))"""
+
+
+@query("prj_06_marks", f"WITH {_MARKS} SELECT * FROM marks")
+def _(spark, d):
+    """Confidences and evidence of all records by dotted path."""
+    return envelopes.flattened(_envelopes(spark, d), "event_id", _record())[1]
+
+
+_NEWEST = "row_number() OVER (PARTITION BY event_id ORDER BY year DESC, old) - 1"
+
+
+@query(
+    "prj_07_moved_marks",
+    f"""WITH {_MARKS}, items AS (SELECT event_id, unnest([0, 1, 2]) AS old, unnest([y0, y1, y2]) AS year FROM built),
+    places AS (SELECT event_id, old, {_NEWEST} AS new FROM items)
+    SELECT m.event_id, path, CASE WHEN p.new IS NULL THEN path ELSE 'done[' || p.new || ']' || substr(path, 8) END AS moved FROM marks m
+    LEFT JOIN places p ON p.event_id = m.event_id AND starts_with(path, 'done[') AND TRY_CAST(path[6] AS INT) = p.old""",
+)
+def _(spark, d):
+    """The marks of all records after `done` was put in the order of its years, the newest first."""
+    docs = stored(_envelopes(spark, d), "records")
+    items = docs.select("event_id", F.posexplode(F.array("y0", "y1", "y2")).alias("old", "year"))
+    moves = envelopes.positions(items, "event_id", "done", "old", [F.desc("year")])
+    return envelopes.moved(envelopes.flattened(docs, "event_id", _record())[1].select("event_id", "path"), "event_id", "path", moves).select("row.event_id", "row.path", C("to").alias("moved"))

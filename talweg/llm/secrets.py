@@ -86,12 +86,20 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
         else:
             taken.append([a, b])
     out, reach = [], 0
+    # contexts come in order, so the next end of a key block, and what was searched without a find, hold for those after them
+    key_end, empty = 0, 0
     for c in _CONTEXT.finditer(text):
         stop = c.end() + REACH
         if head := _KEY_HEAD.match(text, c.end()):
-            stop = max(stop, text.find(_KEY_END, head.end()))
+            if 0 <= key_end < head.end():
+                key_end = text.find(_KEY_END, head.end())
+            stop = max(stop, key_end)
         at = max(c.end(), reach)
-        while at < stop and (near := _CANDIDATE.search(text, at, stop + 15)):
+        while at < stop:
+            near = _CANDIDATE.search(text, max(at, empty - 15), stop + 15)
+            if not near:
+                empty = max(empty, min(stop + 15, len(text)))
+                break
             start, end = _CANDIDATE.match(text, near.start()).span()
             at = reach = end
             for a, b in _left(start, end, taken):

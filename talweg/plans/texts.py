@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import records, scores
 from talweg.functions.text import fold
-from talweg.operators import envelopes, offers, search
+from talweg.operators import envelopes, offers, resumes, search
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.registry import query
 from talweg.sources.tables import stored, table
@@ -198,3 +198,30 @@ def _(spark, d):
     items = docs.select("event_id", F.posexplode(F.array("y0", "y1", "y2")).alias("old", "year"))
     moves = envelopes.positions(items, "event_id", "done", "old", [F.desc("year")])
     return envelopes.moved(envelopes.flattened(docs, "event_id", _record())[1].select("event_id", "path"), "event_id", "path", moves).select("row.event_id", "row.path", C("to").alias("moved"))
+
+
+# --- Markdown made of the documents' lines: three headings of sections in turn, headings of entries, periods, bullets --------
+_PLACED = "CASE WHEN i % 20 = 0 THEN {head} WHEN i % 5 = 1 THEN concat('## ', {first}, CASE WHEN i % 10 = 1 THEN ' chez ' ELSE ' (2019) ' END, 'Maison ', i) WHEN i % 5 = 2 AND i % 3 = 0 THEN '2001 - 2005' ELSE concat('- ', line) END"
+_HEADS = ("# Expérience", "## Skills", "# Formation")
+SECTIONS = {"experience": ["expérience"], "skills": ["skill"], "education": ["formation"]}
+
+
+@query(
+    "ext_02_entries",
+    f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+    placed AS (SELECT doc_id, i, trim(line) AS line, trim(regexp_replace(line, '[^A-Za-z]', '', 'g')[1:12]) AS first, (i // 20) % 3 AS s, i // 20 AS chunk FROM lines),
+    heads AS (SELECT *, count(*) FILTER (i % 5 = 1) OVER (PARTITION BY doc_id, s ORDER BY i) - 1 AS part FROM placed WHERE s <> 1 AND i % 20 <> 0),
+    told AS (SELECT doc_id, CASE s WHEN 0 THEN 'experience' ELSE 'education' END AS section, part, first || CASE WHEN i % 10 = 1 THEN '' ELSE 'Maison ' || i END AS title, CASE WHEN i % 10 = 1 THEN 'Maison ' || i ELSE '' END AS subtitle, i, s FROM heads WHERE i % 5 = 1),
+    periods AS (SELECT doc_id, s, part, max(CASE WHEN i % 5 = 2 AND i % 3 = 0 THEN 1 END) AS alone, count(*) FILTER (i % 5 <> 1 AND NOT (i % 5 = 2 AND i % 3 = 0) AND line <> '') AS bullets FROM heads WHERE part >= 0 GROUP BY 1, 2, 3)
+    SELECT t.doc_id, section, CAST(part AS INT) AS part, title, subtitle, CASE WHEN i % 10 <> 1 THEN '2019' WHEN alone = 1 THEN '2001 - 2005' ELSE '' END AS period,
+           CAST(bullets + CASE WHEN alone = 1 AND i % 10 <> 1 THEN 1 ELSE 0 END AS INT) AS bullets
+    FROM told t JOIN periods p USING (doc_id, s, part)""",
+)
+def _(spark, d):
+    """Entries of experience and education of all documents, whose lines are put as Markdown."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    head = "element_at(array('" + "', '".join(_HEADS) + "'), cast(floor(i / 20) % 3 + 1 as int))"
+    made = F.expr(f"transform(lines, (line, i) -> {_PLACED.format(head=head, first='''substring(regexp_replace(line, '[^A-Za-z]', ''), 1, 12)''')})")
+    docs = table(spark, d, "documents").select("doc_id", lines.alias("lines")).select("doc_id", F.array_join(made, "\n").alias("text"))
+    found = resumes.parts(docs, "doc_id", "text", SECTIONS).where("kind = 'entry' and section != 'intro'")
+    return found.select("doc_id", "section", "part", "title", "subtitle", "period", F.size("items").alias("bullets"))

@@ -1,13 +1,14 @@
 """Line deduplication, conversation repair and the manifest against plain versions, with nulls, ties and long groups."""
 
 import random
+import sys
 import time
 from collections import Counter
 
 import pytest
 
 import brute
-from talweg.llm import linededup, merkle, repair, secrets
+from talweg.llm import decontaminate, linededup, merkle, repair, secrets
 from talweg.llm.common import table
 
 LINES = ["A line of its own here", "the same  Line", " THE SAME  LINE\t", "short", "exactly 10", "exactly_9", "Ünïcode LINE é", "Ünïcode line é", "ünïcode line é", "", "   ", "K" * 12, "K" * 12, "漢字漢字漢字漢字漢字"]
@@ -123,3 +124,17 @@ def test_secrets_of_many_key_heads(end):
     began = time.time()
     secrets.novel_spans(text, [], novelty)
     assert time.time() - began < 3
+
+
+def test_a_block_of_windows_is_bounded():
+    """Two million words of 20,000 kinds take under 150 MB, as sent and as held; repeated windows of an item are one."""
+    rng = random.Random(3)
+    kinds = [f"word{k}" for k in range(20_000)]
+    items = [(str(k), " ".join(rng.choices(kinds, k=2_000))) for k in range(1_000)]
+    held = decontaminate.WindowSet(items)
+    arrays = sum(a.nbytes for x in held.windows.values() for a in x) + held.ids.nbytes
+    assert arrays < 60 << 20 and arrays + sys.getsizeof(held.number) + 100 * len(held.number) < 150 << 20
+    hit, found = held.scan(decontaminate.words("before " + " ".join(items[7][1].split()[30:50]) + " after"))
+    assert found == {"7"} and hit.tolist() == [False] + [True] * 20 + [False]
+    again = decontaminate.WindowSet([("a", "x y " * 500), ("b", "x y " * 20)])
+    assert all(len(x[2]) == 4 for x in again.windows.values())

@@ -1,65 +1,14 @@
-"""Identifier, number and date rules over rows of our own; the oracles state the expected results."""
+"""Texts, digests, vectors and arrays over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talweg.functions import checks, dates, text
+from talweg.functions import text
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
-
-def _sql(names: str, rows) -> str:
-    lit = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
-
-
-def _cases(name: str, inputs: dict[str, str], rows, outputs):
-    """A query over literal rows: the inputs, and the outputs that the oracle has as literals."""
-    n = len(inputs)
-    out_names = list(outputs)
-
-    @query(name, _sql(", ".join([*inputs, *out_names]), rows))
-    def run(spark, d):
-        df = spark.createDataFrame([r[:n] for r in rows], ", ".join(f"{k} {t}" for k, t in inputs.items()))
-        return df.select(*inputs, *[make().alias(k) for k, make in outputs.items()])
-
-    return run
-
-
 C = F.col
-_cases("num_01_number_form", {"v": "string"}, [("007.50", "7.5"), ("+3", "3"), ("-0.0", "0"), ("-12.30", "-12.3"), (".5", "0.5"), ("1e5", "1e5"), ("12 000", "12 000"), (" ", ""), (None, ""), ("10000000000000000", "10000000000000000")], {"form": lambda: checks.number_form(C("v"))})
-_numbers = lambda: checks.company_numbers(C("siren"), C("siret"))
-_cases(
-    "num_02_company_numbers", {"siren": "string", "siret": "string"},
-    [("732829320", "73282932000074", "valide", "valide"), ("732 829 320", None, "valide", "absent"), ("732829321", "", "cle_invalide", "absent"), ("73282932O", "123", "format_invalide", "format_invalide"), ("404833048", "73282932000074", "discordant", "discordant"), (None, "73282932000075", "absent", "cle_invalide")],
-    {"siren_status": lambda: _numbers()["siren"], "siret_status": lambda: _numbers()["siret"]},
-)
-_accounts = lambda: checks.iban_bic(C("iban"), C("bic"))
-_cases(
-    "num_03_iban_bic", {"iban": "string", "bic": "string"},
-    [("FR14 2004 1010 0505 0001 3M02 606", "PSSTFRPPPAR", "valide", "valide"), ("fr1420041010050500013m02606", "DEUTDEFF", "valide", "pays_discordant"), ("GB82 WEST 1234 5698 7654 32", None, "valide", "absent"), ("FR1420041010050500013M02607", "PSSTFRP", "cle_invalide", "format_invalide"), ("FR14 2004", "", "format_invalide", "absent"), (None, "PSSTFRPP", "absent", "valide")],
-    {"iban_status": lambda: _accounts()["iban"], "bic_status": lambda: _accounts()["bic"]},
-)
-_cases("num_04_check_digit", {"v": "string"}, [("D23145890", "7"), ("740812", "2"), ("120415", "9"), ("<<<", "0"), ("L898902C3", "6")], {"digit": lambda: checks.weighted_check_digit(C("v"))})
-_cases("num_05_social_and_vat", {"nir": "string", "vat": "string"}, [("1 84 12 76 451 089 46", "FR 40 303 265 045", True, True), ("184127645108947", "FR41303265045", False, False), (None, None, False, False), ("12", "DE303265045", False, False)], {"nir_ok": lambda: checks.social_security_valid(C("nir")), "vat_ok": lambda: checks.vat_valid(C("vat"))})
-_cases("num_06_phones", {"v": "string"}, [("06 12 34 56 78", True), ("+33 (0)6 12 34 56 78", True), ("+33 612345678", True), ("06 12 34", False)], {"ok": lambda: checks.phone_valid(C("v"))})
-_cases(
-    "dat_01_month_of_text", {"v": "string"},
-    [("04/2025", "2025-04"), ("2025-04", "2025-04"), ("12/04/2025", "2025-04"), ("Août 2019", "2019-08"), ("févr. 2020", "2020-02"), ("depuis 2015", "2015"), ("13/2020", "2020"), ("réf 9999", None), ("bientôt", None), (None, None), ("1/2/19", "2019-02"), ("promo 2015, mars 2019", "2015"), ("le 3 mars 1890 ou 2001", None), ("x2019 et 2018a 2017", "2017"), ("2020-04-15", "2020-04"), ("", None)],
-    {"iso": lambda: dates.month_of(C("v"))},
-)
-_cases("dat_02_durations", {"a": "string", "b": "string"}, [("2020-01", "2020-12", 12), ("2020-03", "2020-03", 1), ("2021", "2020-12", 0), ("2019", "2020", 13)], {"months": lambda: dates.months_between(C("a"), C("b"))})
-_cases("dat_04_still_running", {"v": "string"}, [("", True), (None, True), ("Poste actuel", True), ("Aujourd'hui", True), ("Juin 2021", False), ("en cours", True)], {"running": lambda: dates.still_running(C("v"))})
-_date = lambda: dates.strict_date(C("v"))
-_cases(
-    "dat_05_strict_date", {"v": "string"},
-    [("2026-02-28", "2026-02-28", "read"), ("01/13/2026", "", "impossible"), ("5/3/2019", "2019-03-05", "read"), ("le 12 mars 2019", "2019-03-12", "read"), ("30 février 2020", "", "impossible"), ("hier", "", "unreadable"), ("  ", "", "absent"), (None, "", "absent"), ("1900-01-01", "", "impossible"), ("1er mai 2020", "", "unreadable")],
-    {"date": lambda: _date()["date"], "status": lambda: _date()["status"]},
-)
-_both = lambda: dates.plausibility(C("a"), C("b"), "2026-01-15")
-_cases("dat_06_plausibility", {"a": "string", "b": "string"}, [("2020-01-01", "2021-01-01", "plausible", "plausible"), ("2022-01-01", "2021-01-01", "inconsistent", "inconsistent"), ("2026-02-01", "", "future", "absent"), ("31/02/2020", "x", "impossible", "unreadable")], {"first": lambda: _both()["first"], "second": lambda: _both()["second"]})
-_cases("str_01_fold", {"v": "string"}, [("Éléphant", "Elephant"), ("cœur", "cœur"), ("ça Ñandú", "ca Nandu"), (None, None), ("ǆ", "ǆ")], {"folded": lambda: text.fold(C("v"))})
 
 
 @query("str_01b_fold_documents", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")

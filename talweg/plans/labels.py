@@ -1,23 +1,14 @@
-"""Labels, levels, sections and other text rules over rows of our own and over documents."""
+"""Labels, levels, sections and other text rules over documents, pages, parts and events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from talweg.functions import labels
-from talweg.plans.checks import _cases, _sql
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
 C = F.col
-_cases("str_03_label_key", {"v": "string"}, [("  Développeur_Java ", "developpeur java", "developpeurjava"), ("C++", "c++", "c++"), ("(Node.js)", "node.js", "nodejs"), ("L’équipe—IT", "l'equipe it", "lequipeit"), (None, None, None)], {"label": lambda: labels.label_key(C("v")), "compact": lambda: labels.compact_key(C("v"))})
-_cases("str_08_company_names", {"a": "string", "b": "string"}, [("Cœur de Ville SAS", "Société COEUR DE VILLE", True), ("Alpha Beta Gamma", "alpha sarl", False), ("SAS", "x", None), (None, "x", None), ("Été & Fils", "ETE FILS", True)], {"same": lambda: labels.name_matches(C("a"), C("b"))})
-_cases("str_09_document_type", {"t": "string"}, [("Extrait Kbis du 3", "kbis"), ("Attestation de vigilance Urssaf", "urssaf"), ("vigilance seule", ""), ("Relevé d'identité bancaire", "rib"), ("Attestation de régularité fiscale", "fiscale"), ("Passeport", "cni"), ("Urssaf", "urssaf"), ("attestation fiscale", "fiscale"), ("code BIC : X", "rib"), ("Titre de séjour", "cni"), ("cubic", ""), ("", "")], {"kind": lambda: labels.document_type(C("t"))})
-_cases("str_12_phone", {"v": "string"}, [("06 12 34 56 78", "+33612345678"), ("0033 6 12 34 56 78", "+33612345678"), ("+33 (0)6 12 34 56 78", "+33612345678"), ("+44 20 7946 0958", "+442079460958"), ("123", None)], {"e164": lambda: labels.phone_e164(C("v"))})
-_cases("str_27_language_level", {"v": "string"}, [("natif", "C2"), ("TOEIC 880", "B2"), ("courant, TOEIC : 600", "C1"), ("lu, écrit", None), ("Débutant", "A1"), ("TCF 350", "A2"), ("toefl ibt 95", "C1"), (None, None)], {"level": lambda: labels.language_level(C("v"))})
-_cases("str_23_template", {"t": "string", "n": "string"}, [("Contrat {{numero}} de {{nom}}{{finClause}}.", "A1", "Contrat A1 de .........")], {"text": lambda: labels.filled(C("t"), F.create_map(F.lit("numero"), C("n")))})
-_cases("str_28_json_recovery", {"v": "string"}, [('Voici : {"a": 1} fin', '{"a": 1}'), ("rien", None), ("{cassé}", None)], {"json": lambda: labels.json_part(C("v"))})
-_cases("src_14_entities", {"v": "string"}, [("a &lt; b &amp;&amp; c", "a < b && c"), ("&quot;x&quot;", '"x"'), ("&amp;lt;", "&lt;")], {"text": lambda: labels.decoded_entities(C("v"))})
 
 
 @query("src_14b_page_entities", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS digest FROM pages")
@@ -25,14 +16,6 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(labels.decoded_entities(C("html")).cast("binary")).alias("digest"))
 
 
-@query("joi_09_dictionary", _sql("term, canonical", [("JS", "JavaScript"), ("node js", "Node.js"), ("NodeJS", "Node.js"), ("C", None), ("Postgrès", "PostgreSQL"), (None, None)]))
-def _(spark, d):
-    """Terms to canonical names: exact key, else compact key."""
-    known = spark.createDataFrame([("js", "JavaScript"), ("node.js", "Node.js"), ("postgres", "PostgreSQL"), ("c", None)], "alias string, name string").where("name is not null")
-    terms = spark.createDataFrame([("JS",), ("node js",), ("NodeJS",), ("C",), ("Postgrès",), (None,)], "term string")
-    return labels.canonical(terms, "term", known, "alias", "name").select("term", "canonical")
-
-
 @query("str_16_sentences", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1\x01', 'g'), '\\n+', '\x01', 'g'), '\x01')) AS s FROM documents) WHERE trim(s) <> '' GROUP BY 1")
 def _(spark, d):
     """Sentences end at a mark before white space, or with their line."""
@@ -49,13 +32,6 @@ def _(spark, d):
     return labels.cleaned_lines(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.md5(C("text").cast("binary")).alias("digest"))
 
 
-@query("ext_01_sections", _sql("id, line_no, section, line", [(1, 0, "intro", "# Jean"), (1, 2, "experience", "Alpha"), (1, 3, "experience", "## 2019"), (1, 5, "skills", "Java"), (2, 0, "intro", "rien")]))
-def _(spark, d):
-    """Lines under the last heading that names a section; other headings are lines."""
-    df = spark.createDataFrame([(1, "# Jean\n## Expérience\nAlpha\n## 2019\n# Compétences\nJava"), (2, "rien")], "id int, text string")
-    return labels.sectioned(df, "id", "text", {"experience": "exp[ée]rience|mission", "skills": "comp[ée]tence|skill", "education": "formation|dipl"})
-
-
 @query("joi_10_dictionary_search", "SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents) WHERE name IN ('idiot', 'moron', 'clown', 'licensed') GROUP BY 1, 2")
 def _(spark, d):
     """A plain count of single words, which meet a list by equality; not the whole dictionary search (see README)."""
@@ -85,13 +61,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("x")).select("l_orderkey", (F.size("x") == 4).alias("suspicious"))
 
 
-@query("arr_08_stale_marks", _sql("id, marks", []).replace("SELECT * FROM (VALUES ) t(id, marks)", "SELECT 1 AS id, ['skills[0]'] AS marks"))
-def _(spark, d):
-    """Review marks of rewritten sections go."""
-    df = spark.createDataFrame([(1, ["experience[0].title", "skills[0]", "experience[2]"], ["experience"])], "id int, marks array<string>, rewritten array<string>")
-    return df.select("id", F.filter("marks", lambda m: ~F.array_contains(C("rewritten"), F.regexp_extract(m, r"^(\w+)", 1))).alias("marks"))
-
-
 @query("prj_06_unwrapped", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS INT) AS value, 0.9 AS confidence FROM events")
 def _(spark, d):
     """Leaves of an envelope {value, confidence} as dotted paths."""

@@ -1,40 +1,14 @@
-"""Records out of short texts, over rows of our own; JSON and line-wise sources and sinks."""
+"""Listings, names and counts; JSON and line-wise sources and sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talweg.functions import records, scores
-from talweg.plans.checks import _cases, _sql
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
 C = F.col
-_PERIODS = [("Septembre 2019 - Février 2022", "2019-09", "2022-02", False), ("Mars 2019 – Aujourd'hui", "2019-03", None, True), ("2015 à 2018", "2015", "2018", False), ("2019-03", "2019-03", "2019-03", False), ("", None, None, False), (None, None, None, False), ("juin 2020 to présent", "2020-06", None, True), ("mars 2018 jusqu’au 04/2019", "2018-03", "2019-04", False), ("03/2018 jusqu'en juin 2019", "2018-03", "2019-06", False), ("mai 2016 -- mai 2017", "2016-05", "2017-05", False)]
-
-
-@query("dat_03_periods", _sql("v, begin, finish, running", _PERIODS).replace(" begin,", ' "begin",'))
-def _(spark, d):
-    return records.with_period(spark.createDataFrame([p[:1] for p in _PERIODS], "v string"), "v")
-
-
-_cases("dat_07_period_label", {"a": "string", "b": "string", "r": "boolean"}, [("2025-04", "2026-07", False, "04/2025 – 07/2026"), ("2019", None, True, "depuis 2019"), ("2019", "2019", False, "2019"), ("", "2020", False, ""), (None, None, False, "")], {"label": lambda: records.period_label(C("a"), C("b"), C("r"))})
-_cases("dat_08_last_year", {"v": "string"}, [("2010-2014, promo 2015", 2015), ("sans", None), (None, None)], {"y": lambda: records.last_year(C("v"))})
-_cases("str_15_list_split", {"v": "string"}, [("Java, CI/CD ; SAP / Oracle et - Git.", "Java|CI/CD|SAP|Oracle|Git"), ("a", ""), ("", ""), ("Power BI & Excel ET – Word..", "Power BI|Excel|Word")], {"items": lambda: F.array_join(records.split_list(C("v")), "|")})
-_cases("str_29_degree_level", {"v": "string"}, [("Master 2", "bac+5"), ("Doctorat", "bac+8"), ("Ingénieur", "bac+5"), ("Licence pro", "bac+3"), ("BTS SIO", "bac+2"), ("Lycée", ""), ("Mastère", "bac+5"), ("bac + 3", "bac+3"), ("", "")], {"level": lambda: records.degree_level(C("v"))})
-_n = lambda: records.need_of_text(C("v"))
-_cases("sup_05_need_of_text", {"v": "string"}, [("Développeur\n8 ans d'expérience", "Développeur", 8, "senior"), ("\n  ", "", 0, ""), (None, "", 0, ""), ("Chef\n12 années", "Chef", 12, "expert")], {"title": lambda: _n()["title"], "least": lambda: _n()["least"], "level": lambda: _n()["level"]})
-_y = lambda: records.years_source(C("y"), C("ok"), C("told"))
-_cases("sup_08_years_source", {"y": "int", "ok": "boolean", "told": "string"}, [(5, True, "9", 5, "periods"), (2, False, "7.5", 8, "announced"), (2, False, "x", 2, "lump"), (0, False, None, 0, "none")], {"years": lambda: _y()["years"], "source": lambda: _y()["source"]})
-_cases("sup_19_lookup_number", {"v": "string"}, [("732 829 320 00074", "732829320"), ("732829320", "732829320"), ("732829321", None), ("12", None), (None, None)], {"siren": lambda: records.lookup_number(C("v"))})
-_cases("joi_02_fuzzy_skill", {"a": "string", "b": "string"}, [("sql", "pl/sql", True), ("kubernetes", "kubernetis", True), ("java", "python", False), ("", "x", True)], {"met": lambda: records.skill_similar(C("a"), C("b"))})
-_cases("str_07_ratio", {"a": "string", "b": "string"}, [("abcd", "bcde", 0.75), ("Java", "java", 1.0), ("", "x", 0.0), (None, None, 1.0)], {"share": lambda: scores.ratio(C("a"), C("b"))})
-_o = lambda: records.opinion(C("v"))
-_cases("sup_04_opinion", {"v": "string"}, [('ok {"score": "140", "strengths": ["a","b","c","d","e"]}', 100.0, 4), ('{"score": -3}', 0.0, -1), ("rien", None, -1)], {"score": lambda: _o()["score"], "n": lambda: F.coalesce(F.size(F.coalesce(_o()["strengths"], F.lit(None))), F.lit(-1))})
-_cases("sco_05_missions", {"a": "double", "b": "double"}, [(0.5, 1.0, 7.5), (None, 0.2, 2.0), (None, None, 4.0)], {"points": lambda: scores.missions_score(C("a"), C("b"))})
-_cases("sco_06_bonus", {"l": "boolean", "p": "boolean", "r": "boolean"}, [(True, True, True, 8), (False, False, True, 5), (False, False, False, 4)], {"points": lambda: scores.bonus_score(C("l"), F.lit(True), F.lit(True), C("p"), C("r"), F.lit(False))})
-_cases("sco_15_title_axis", {"s": "boolean", "m": "boolean", "f": "boolean", "w": "boolean"}, [(True, True, True, True, 1.0), (False, True, True, True, 0.85), (False, False, True, True, 0.6), (False, False, False, True, 0.45), (False, False, False, False, 0.25)], {"v": lambda: scores.two_places(records.title_axis(C("s"), C("m"), C("f"), C("w"), F.lit(0.5)))})
 
 
 @query("sco_22_chips", "SELECT p_type, list(p_name ORDER BY k) AS chips FROM (SELECT p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY sum(p_size) DESC, p_name) AS k FROM part GROUP BY 1, 2) WHERE k <= 4 GROUP BY 1")

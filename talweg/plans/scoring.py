@@ -11,17 +11,10 @@ from pyspark.sql import functions as F
 from talweg.functions import scores
 from talweg.operators import matching
 from talweg.operators.blocks import queries_in_blocks
-from talweg.plans.checks import _cases
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
 C = F.col
-_cases("sco_03_seniority", {"level": "string", "least": "int", "years": "int"}, [("", 0, 4, 9.0), ("senior", 5, 7, 15.0), ("senior", 5, 4, 4.5), ("junior", 0, 9, 5.25), ("expert", 0, 9, 3.75), ("unknown", 0, 3, 0.0)], {"points": lambda: scores.seniority_score(C("level"), C("least"), C("years"))})
-_cases("sco_04_availability", {"status": "string"}, [("Disponible", 10.0), ("non disponible", 10.0), ("sous 30 jours", 7.0), ("2 mois", 4.0), ("3 mois", 2.0), ("", 5.0), ("préavis", 5.0)], {"points": lambda: scores.availability_score(C("status"))})
-_cases("sco_08_keyword_overlap", {"q": "string", "t": "string"}, [("développeur java senior", "un développeur python senior", 0.67), ("le la de", "x", 0.5), ("", "x", 0.5), ("abc def", "zzz", 0.0)], {"share": lambda: scores.two_places(scores.keyword_overlap(C("q"), C("t")))})
-_cases("sco_12_recency", {"gap": "int"}, [(None, 0.7), (0, 1.0), (2, 1.0), (5, 0.65), (30, 0.4)], {"value": lambda: scores.two_places(scores.recency(C("gap")))})
-_cases("sco_14_seniority_axis", {"years": "int", "asked": "int"}, [(3, 0, 0.5), (10, 5, 1.0), (14, 5, 0.8), (40, 5, 0.5), (5, 10, 0.38), (0, 4, 0.0)], {"value": lambda: scores.two_places(scores.seniority_axis(C("years"), C("asked")))})
-_cases("sco_18_highlights", {"t": "string"}, [("Réduit les coûts de 30 % sur 12 sites en Europe", 10.5), ("Participation", -1.5), ("Suivi régulier des travaux de la maîtrise", 3.0), ("Industrialisation de 3 hôpitaux et de leurs services", 7.5), (None, 1.5)], {"score": lambda: scores.highlight_score(C("t"))})
 
 _NEEDS = "(SELECT s_suppkey, s_nationkey % 4 * 3 AS least, ['red', 'ring'] AS required FROM supplier WHERE s_suppkey % 50 = 0)"
 

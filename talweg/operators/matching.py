@@ -92,3 +92,17 @@ def ranked(rows: DataFrame, need: str, candidate: str, threshold: float = RETAIN
     # those under the threshold need no order: each is a window of its own, so that a need sorts only what it retains
     w = Window.partitionBy(need, kept, F.when(~kept, F.col(candidate))).orderBy(F.desc("total"), candidate)
     return rows.withColumns({"band": scores.band_a(F.col("total")), "rank": F.when(kept, F.row_number().over(w))})
+
+
+def by_relevance(rows: DataFrame, similarity: Column, reranked: Column | None = None) -> DataFrame:
+    """scored() rows with title and missions by relevance: a vector's similarity, else a reranker's score, both held between
+    0 and 1, else the local points as they are. Adds relevance (three places, null if local) and source; the total is anew."""
+    given = [(similarity, "semantic"), *([(reranked, "rerank")] if reranked is not None else [])]
+    there = lambda c: c.isNotNull() & ~F.isnan(c)
+    held = F.coalesce(*(F.when(there(c), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))) for c, _ in given))
+    source = F.coalesce(*(F.when(there(c), name) for c, name in given), F.lit("local"))
+    out = rows.withColumns({"_held": held, "source": source})
+    points = {f"{p}_points": F.coalesce(scores.two_places(F.col("_held") * scores.WEIGHTS[p]), F.col(f"{p}_points")) for p in ("title", "missions")}
+    out = out.withColumns({**points, "relevance": F.floor(F.col("_held") * 1000 + 0.5) / 1000}).drop("_held")
+    whole = sum((F.col(f"{p}_points") for p in PARTS), start=F.lit(0.0))
+    return out.withColumn("total", F.least(F.lit(100.0), scores.two_places(whole)))

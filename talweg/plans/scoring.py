@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talweg.functions import scores
-from talweg.operators import matching
+from talweg.operators import matching, semantic
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.registry import query
 from talweg.sources.tables import table
@@ -56,9 +56,8 @@ def _(spark, d):
     return _totals(spark, d).select("s_suppkey", "p_partkey", F.when(kept, F.row_number().over(w)).alias("rank"))
 
 
-@query("sco_07_whole_engine")
-def _(spark, d):
-    """All six parts and the rank over the threshold of 80, of the stated needs and every part: names are titles and skills, sizes years, types what was done, prices of 1000 and more a certificate. Matching blocks have no SQL."""
+def _engine(spark, d):
+    """Needs and candidates of the whole engine: the stated suppliers and every part, out of names, sizes, types and prices."""
     need = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(
         "s_suppkey", F.lit("small red ring").alias("need_title"), F.array(F.lit("red"), F.lit("ring")).alias("required"), (C("s_nationkey") % 4 * 3).alias("least"),
         F.element_at(F.array(*map(F.lit, ("", "junior", "senior", "expert"))), (C("s_nationkey") % 4 + 1).cast("int")).alias("level"), F.lit("").alias("client"), F.lit("economy").alias("sector"),
@@ -68,10 +67,65 @@ def _(spark, d):
         "p_partkey", C("p_name").alias("title"), F.split("p_name", " ").alias("skills"), C("p_size").alias("years"), F.lit("1 mois").alias("status"), F.concat_ws(" ", "p_name", "p_type").alias("text"),
         C("p_name").alias("done"), C("p_name").alias("spoken"), (C("p_retailprice") >= 1000).cast("int").alias("certificates"), C("p_brand").alias("home"),
     )
+    return need, part
+
+
+@query("sco_07_whole_engine")
+def _(spark, d):
+    """All six parts and the rank over the threshold of 80, of the stated needs and every part: names are titles and skills, sizes years, types what was done, prices of 1000 and more a certificate. Matching blocks have no SQL."""
+    need, part = _engine(spark, d)
     rows = matching.ranked(matching.scored(queries_in_blocks(part, need, "s_suppkey")), "s_suppkey", "p_partkey")
     return rows.select("s_suppkey", "p_partkey", *(f"{p}_points" for p in matching.PARTS), "missing", "total", "band", "rank")
 
 
+def _with_vectors(spark, d):
+    """Needs and candidates of the engine with the vector of their id; many have none."""
+    need, part = _engine(spark, d)
+    vectors = lambda k, v: table(spark, d, "embeddings").select(C("vec_id").alias(k), C("embedding").cast("array<double>").alias(v))
+    return need.join(vectors("s_suppkey", "asked_vector"), "s_suppkey", "left"), part.join(vectors("p_partkey", "own_vector"), "p_partkey", "left")
+
+
+@query("sco_09_semantic_mode")
+def _(spark, d):
+    """The whole engine, title and missions by similarity of vectors where both sides have one, else by the local rules."""
+    need, part = _with_vectors(spark, d)
+    rows = matching.scored(queries_in_blocks(part, need, "s_suppkey"))
+    rows = matching.ranked(matching.by_relevance(rows, scores.cosine(C("asked_vector"), C("own_vector"))), "s_suppkey", "p_partkey")
+    return rows.select("s_suppkey", "p_partkey", *(f"{p}_points" for p in matching.PARTS), "source", "relevance", "total", "band", "rank")
+
+
+@query(
+    "sco_09_relevance",
+    """SELECT s_suppkey, p_partkey, CASE WHEN x IS NULL THEN 'local' ELSE 'semantic' END AS source, floor(x * 1000 + 0.5) / 1000 AS relevance, coalesce(floor(x * 20 * 100 + 0.5) / 100, 1.0) AS title_points, coalesce(floor(x * 10 * 100 + 0.5) / 100, 1.0) AS missions_points
+    FROM (SELECT s_suppkey, p_partkey, CASE WHEN c IS NOT NULL THEN greatest(0.0, least(1.0, c)) END AS x FROM (SELECT s_suppkey, p_partkey, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM (SELECT * FROM supplier LEFT JOIN embeddings ON vec_id = s_suppkey WHERE s_suppkey % 50 = 0) a, (SELECT * FROM part LEFT JOIN embeddings ON vec_id = p_partkey) b))""",
+)
+def _(spark, d):
+    """The relevance of every candidate for the stated needs, and its points over local ones of 1 each."""
+    need, part = _with_vectors(spark, d)
+    pairs = queries_in_blocks(part.select("p_partkey", "own_vector"), need.select("s_suppkey", "asked_vector"), "s_suppkey")
+    rows = pairs.withColumns({f"{p}_points": F.lit(1.0) for p in matching.PARTS})
+    rows = matching.by_relevance(rows, scores.cosine(C("asked_vector"), C("own_vector")))
+    return rows.select("s_suppkey", "p_partkey", "source", "relevance", "title_points", "missions_points")
+
+
+@query(
+    "vec_02_nearest",
+    """SELECT query, near, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, near) AS place FROM (SELECT a.vec_id AS query, b.vec_id AS near,
+    floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) / 1000000 AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND len(a.embedding) = len(b.embedding))) WHERE place <= 10""",
+)
+def _(spark, d):
+    """The ten nearest of all vectors for those whose id is divisible by 50, exactly."""
+    rows = table(spark, d, "embeddings")
+    return semantic.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding").select("query", "near", "similarity", C("place").cast("long"))
+
+
+@query("vec_02_nearest_index")
+def _(spark, d):
+    """As vec_02_nearest, through the inverted file; tests measure what it finds against the exact form."""
+    rows = table(spark, d, "embeddings")
+    return semantic.Index(rows, "vec_id", "embedding").search(rows.where("vec_id % 50 = 0")).select("query", "near", "similarity", C("place").cast("long"))
+
+
 @query("sco_02_title")
 def _(spark, d):
     """Titles compared by matching blocks, which SQL lacks; each distinct pair once."""

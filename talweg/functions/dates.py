@@ -108,3 +108,49 @@ def still_running(end: Column) -> Column:
     """An end that is missing, or says so."""
     s = F.lower(fold(F.coalesce(end, F.lit(""))))
     return (F.trim(s) == "") | s.rlike(r"(?U)\b(en cours|actuel(le)?|actuellement|present|aujourd.?hui|ce jour|now|current|today|ongoing)\b")
+
+
+#: What stands before a document's day of issue, in capitals without accents and signs; the months in full; how many characters before a date count.
+ISSUED = r"DELIVR|A JOUR AU|EDITE? LE|ETABLI LE|EMISE? LE|FAIT A? ?[A-Z ]*LE|EN DATE DU|DATE DE DELIVRANCE"
+FULL_MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
+BEFORE = 55
+
+
+def issued_date(text: Column, today: str) -> Column:
+    """The day on which a document was issued, out of its whole text: the latest date with a word of ISSUED in the BEFORE
+    characters before it, else the latest that isn't to come, else the earliest; empty without any. Years count from 2000 to
+    the one after `today`'s. Null counts as empty.
+
+    A date is eight characters or more, so its context lies in the seven dates and pieces before it.
+    """
+    t = F.coalesce(text, F.lit(""))
+    last = int(today[:4]) + 1
+
+    def plain(c: Column) -> Column:
+        for a, b in (("Œ", "OE"), ("œ", "oe"), ("Æ", "AE"), ("æ", "ae")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return F.regexp_replace(F.regexp_replace(fold(F.upper(c)), "[^A-Z0-9 ]", " "), " +", " ")
+
+    # Each step is a lambda's argument, so that a text is read once for each pattern.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def candidates(pattern: str, in_words: bool) -> Column:
+        def judged(one: Column, i: Column, found: Column, pieces: Column) -> Column:
+            behind = F.transform(F.sequence(F.greatest(i - 7, F.lit(0)), i), lambda j: F.concat(F.get(pieces, j), F.when(j == i, "").otherwise(F.get(found, j))))
+            part = lambda k: F.regexp_extract(one, pattern, k)
+            m = F.array_position(F.array(*map(F.lit, FULL_MONTHS)), F.lower(F.trim(plain(part(2))))).cast("int") if in_words else part(2).try_cast("int")
+            d, y = part(1).try_cast("int"), part(3).try_cast("int")
+            near = plain(F.right(F.array_join(behind, ""), F.lit(BEFORE))).rlike(ISSUED)
+            return once(
+                F.struct(d.alias("d"), m.alias("m"), y.alias("y")),
+                lambda x: F.when(x["m"].between(1, 12) & x["y"].between(2000, last) & (F.lit(True) if in_words else x["d"].between(1, 31)), F.struct(F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]).alias("iso"), near.alias("near"))),
+            )
+
+        pieces_of = lambda found: once(F.split(t, pattern, -1), lambda pieces: F.transform(found, lambda one, i: judged(one, i, found, pieces)))
+        return once(F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)), lambda found: F.when(F.size(found) > 0, F.array_compact(pieces_of(found))).otherwise(F.array().cast("array<struct<iso:string,near:boolean>>")))
+
+    signs = candidates(r"([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4})", False)
+    words = candidates(r"([0-9]{1,2})\s+([A-Za-zûéèàêôä]+)\s+([0-9]{4})", True)
+    days = lambda every, keep: F.transform(F.filter(every, keep), lambda x: x["iso"])
+    chosen = lambda e: F.coalesce(F.array_max(days(e, lambda x: x["near"])), F.array_max(days(e, lambda x: x["iso"] <= today)), F.array_min(days(e, lambda x: F.lit(True))))
+    return F.coalesce(once(F.concat(signs, words), chosen), F.lit(""))

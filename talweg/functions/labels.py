@@ -126,6 +126,20 @@ def json_part(c: Column) -> Column:
     return F.when(F.try_parse_json(F.nullif(inner, F.lit(""))).isNotNull(), inner)
 
 
+def decoded_json(c: Column, most: int = 3) -> Column:
+    """json (a variant) of a text that may hold JSON encoded as a text again, up to `most` times, and how many layers were opened; both null for a text that isn't JSON, or whose innermost text isn't."""
+    state = F.struct(F.try_parse_json(c).alias("json"), F.lit(0).alias("layers"))
+
+    def opened(s: Column, _: Column) -> Column:
+        inner = F.try_variant_get(s["json"], "$", "string")
+        again = F.schema_of_variant(s["json"]) == "STRING"
+        return F.when(again, F.struct(F.try_parse_json(inner).alias("json"), (s["layers"] + 1).alias("layers"))).otherwise(s)
+
+    done = F.aggregate(F.array_repeat(F.lit(0), most), state, opened)
+    readable = done["json"].isNotNull()
+    return F.struct(F.when(readable, done["json"]).alias("json"), F.when(readable, done["layers"]).alias("layers"))
+
+
 def cleaned_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, text: without blank lines, markers, lines of at most two distinct characters, and repeated short lines."""
     rows = df.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "_raw")).withColumn("_line", F.trim("_raw"))

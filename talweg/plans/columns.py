@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import functions as F
 
 from talweg.functions import checks, dates, labels, records, scores, text
+from talweg.operators import mappings
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
@@ -285,3 +286,47 @@ _over(
     {"score": lambda: scores.highlight_score(C("t"), F.array(F.lit("ring"), F.lit("pression"), F.lit("red")))},
     {"score": _case("k", "10.5", "-1.5", "CASE WHEN p_name LIKE '%ring%' THEN 3.7 ELSE 3.0 END", "7.5", "1.5", "CASE WHEN p_name LIKE '%ring%' THEN 5.4 ELSE 4.7 END")}, "t",
 )
+
+
+# Envelopes of orders: numbers with and without their check digits, dates in several spellings, names that match or don't.
+def _envelope(schema: str, fields: dict[str, str], validation: str = "'{\"valid\":true}'") -> str:
+    """SQL of an envelope's JSON; a field is SQL of its inner text, null for none."""
+    inner = " || ".join(f"coalesce('\"{k}\":{{\"value\":\"' || {e} || '\"}},', '')" for k, e in fields.items())
+    return f"'{{\"schema_name\":\"{schema}\",\"result\":{{' || {inner} || '\"extraction_notes\":[\"n' || CAST(o_orderkey % 2 AS STRING) || '\"]}},\"validation\":' || {validation} || '}}'"
+
+
+_TO_COME = {"ys": "CAST(y + 12 AS STRING)"}  # leap years stay so
+_KBIS = (
+    *_SIREN, {**_DAY, "w": "o_orderkey % 7"}, {"m2": "substr(iso, 6, 2)", "d2": "substr(iso, 9, 2)", **_TO_COME},
+    {"siren": _case("w", "good", "bad", "good", "good", "CAST(NULL AS STRING)", "good", "good"), "siret": _case("w", "long14", "CAST(NULL AS STRING)", "'40483304800022'", "'123'", "CAST(NULL AS STRING)", "long14", "long14"),
+     "day": _case("w", "d2 || '/' || m2 || '/' || ys", "ys || '-' || m2 || '-' || d2", "'le jour'", "'31/02/' || ys", "ys || '-' || m2 || '-' || d2", "CAST(NULL AS STRING)", "ys || '-' || m2 || '-' || d2"),
+     "holder": "CASE WHEN w = 4 THEN NULL ELSE 'Client ' || CAST(o_custkey AS STRING) || ' SAS' END", "sought": "CASE WHEN o_orderkey % 2 = 0 THEN 'Client ' || CAST(o_custkey AS STRING) ELSE 'Autre maison' END"},
+    {"envelope": "CASE WHEN w = 6 THEN '{' ELSE '' END || " + _envelope("kbis", {"company_name": "holder", "siren": "siren", "siret_siege": "siret", "issued_date": "day", "legal_form": "o_orderpriority"}, "CASE WHEN w = 5 THEN '{\"valid\":false,\"errors\":[\"e\"]}' ELSE '{\"valid\":true}' END") },
+)
+_listed = lambda *parts: f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), '|')"
+_KBIS_FAILED = ["CASE WHEN w = 1 THEN 'SIREN ''' || siren || ''': its check digit is wrong; the value is kept' END", "CASE WHEN w = 3 THEN 'SIRET ''123'': 14 digits are expected; the value is kept' WHEN w = 2 AND siret_ok AND substr(siret, 1, 9) <> siren THEN 'SIRET ''' || siret || ''' is not of the company SIREN ''' || siren || '''; the value is kept' WHEN w = 2 AND NOT siret_ok THEN 'SIRET ''' || siret || ''': its check digit is wrong; the value is kept' END"]
+
+
+def _kbis(df):
+    df = mappings.mapped(df, "envelope", "kbis", "2026-01-15", C("sought"))
+    return df.select("o_orderkey", "mapped.*")
+
+
+_over(
+    "prj_09_kbis", "orders", "o_orderkey", (*_KBIS, {"siret_ok": _luhn_digit("'4048330480002'", 13) + " = '2'"}),
+    {"refused": lambda: C("refused"), "siren_read": lambda: C("values")["siren"], "form": lambda: C("values")["formeJuridique"], "capital": lambda: C("values")["capitalSocial"], "who": lambda: C("name"), "same": lambda: C("name_matches"),
+     "issued": lambda: C("issued"), "ok": lambda: C("valid"), "summary": lambda: C("summary"), "told": lambda: F.array_join("issues", "|"), "lost": lambda: F.array_join("warnings", "|")},
+    {"refused": "CASE WHEN w = 6 THEN 'json' END", "siren_read": "CASE WHEN w <> 6 THEN coalesce(siren, '') END", "form": "CASE WHEN w <> 6 THEN o_orderpriority END", "capital": "CASE WHEN w <> 6 THEN '' END", "who": "CASE WHEN w <> 6 THEN holder END",
+     "same": "CASE WHEN w NOT IN (4, 6) THEN o_orderkey % 2 = 0 END", "issued": "CASE WHEN w < 2 THEN ys || '-' || m2 || '-' || d2 WHEN w < 6 THEN '' END", "ok": "CASE WHEN w <> 6 THEN w < 4 END",
+     "summary": "CASE WHEN w < 2 THEN 'Extrait Kbis — délivré le ' || ys || '-' || m2 || '-' || d2 WHEN w = 4 THEN 'Document illisible.' WHEN w < 6 THEN 'Extrait Kbis' END",
+     "told": "CASE WHEN w = 4 THEN 'no text could be read' WHEN w <> 6 THEN " + _listed("CASE WHEN w = 5 THEN 'the extraction was not validated' END", "CASE WHEN o_orderkey % 2 = 1 THEN 'the name is not the expected one' END", *_KBIS_FAILED, "CASE WHEN w IN (2, 3, 5) THEN 'no issue date found' END") + " END",
+     "lost": "CASE WHEN w <> 6 THEN " + _listed("CASE w WHEN 2 THEN 'issued_date: unreadable date ''le jour'' left out' WHEN 3 THEN 'issued_date: impossible date ''31/02/' || ys || ''' left out' END", *_KBIS_FAILED, "'note: n' || (o_orderkey % 2)", "CASE WHEN w = 5 THEN 'validation: e' END") + " END"},
+    step=_kbis,
+)
+_over(
+    "str_10_issue_date", "orders", "o_orderkey",
+    ({**_DAY, "k": "o_orderkey % 6"}, {**_SPELT, "ys": "CAST(y + 10 AS STRING)", "old": "CAST(y + 9 AS STRING)", "new": "CAST(y + 11 AS STRING)"},
+     {"v": _case("k", "'Édité le ' || d2 || '/' || m2 || '/' || ys || ', valable au 01/01/2026'", "'né le 01/02/' || old || ' puis ' || CAST(dd AS STRING) || ' ' || word || ' ' || ys || ' fin'", "'au 01/02/2027 et au 03/04/2026'", "'Délivré à Paris, ' || repeat('x', 60) || ' 01/01/' || old || '. Fait à Lyon le ' || d2 || '-' || m2 || '-' || ys || ' et ' || repeat('y', 60) || ' 01/01/' || new", "'le 45/02/2010, le 01/13/2011, le 01/01/1999'", "CAST(NULL AS STRING)")}),
+    {"issued": lambda: dates.issued_date(C("v"), "2026-01-15")},
+    {"issued": _case("k", "'2026-01-01'", "ys || '-' || m2 || '-' || d2", "'2026-04-03'", "ys || '-' || m2 || '-' || d2", "''", "''")}, "v",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talweg.functions import labels
+from talweg.functions import analysis, labels
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 
@@ -72,3 +72,9 @@ def _(spark, d):
 def _(spark, d):
     """Navigation by path in a variant."""
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"a":['), C("props"), F.lit("]}"))), "$.a[0].k", "int").alias("value"))
+
+
+@query("sup_17_document_analysis")
+def _(spark, d):
+    """Kind, company, day of issue and findings of every document's whole text, against its source as the company expected."""
+    return analysis.with_analysis(table(spark, d, "documents").select("doc_id", "text", "source"), "text", C("source"), "2026-01-15").select("doc_id", "analysis.*")

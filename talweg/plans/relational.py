@@ -377,10 +377,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", filled.alias("filled"), F.array_compact(F.array(*[F.when(~c, k) for k, c in have.items()])).alias("missing"), have["text"].alias("usable"))
 
 
-@query("agg_11_completeness", "SELECT p_partkey, floor(((p_size > 10)::INT + (p_retailprice > 1000)::INT + (length(p_name) > 8)::INT) / 10.0 * 100 + 0.5) / 100 AS ratio FROM part")
+_TESTS = ("p_size > 10", "p_retailprice > 1000", "length(p_name) > 8", "p_name LIKE '% %'", "p_brand <> ''", "p_type <> 'SMALL'", "p_size < 45", "p_partkey % 3 = 0", "p_name NOT LIKE '%rod'", "p_retailprice < 1900")
+
+
+@query("agg_11_completeness", f"SELECT p_partkey, len(list_filter([{', '.join(_TESTS)}], lambda x: x)) / 10.0 AS ratio FROM part")
 def _(spark, d):
-    passed = (_C("p_size") > 10).cast("int") + (_C("p_retailprice") > 1000).cast("int") + (F.length("p_name") > 8).cast("int")
-    return table(spark, d, "part").select("p_partkey", (F.floor(passed / 10.0 * 100 + 0.5) / 100).alias("ratio"))
+    """The share of ten tests that a record passes, to two places."""
+    passed = reduce(lambda a, b: a + b, [F.coalesce(F.expr(t), F.lit(False)).cast("int") for t in _TESTS])
+    return table(spark, d, "part").select("p_partkey", (F.floor(passed / len(_TESTS) * 100 + 0.5) / 100).alias("ratio"))
 
 
 @query("agg_12_next_amendment", "SELECT o_custkey, count(*) + 1 AS next FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
@@ -507,6 +511,17 @@ def _(spark, d):
     return top.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("c_nationkey"), F.desc("c_acctbal"), "c_name")).cast("long").alias("position"))
 
 
+_FRENCH = "CASE c_custkey % 5 WHEN 0 THEN 'Élan ' WHEN 1 THEN 'eau ' WHEN 2 THEN 'Zoé ' WHEN 3 THEN 'côte ' ELSE 'Coté ' END || CAST(c_custkey % 13 AS STRING)"
+
+
+@query("srt_02_french_names", f"SELECT c_custkey, name, row_number() OVER (ORDER BY c_nationkey DESC, name COLLATE fr, c_custkey) AS position FROM (SELECT *, {_FRENCH} AS name FROM customer) ORDER BY position LIMIT 200")
+def _(spark, d):
+    """By a number downwards, then names in French order: accents and case count last."""
+    order = [F.desc("c_nationkey"), F.collate("name", "fr"), _C("c_custkey")]
+    top = table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", f"{_FRENCH} AS name").orderBy(*order).limit(200)
+    return top.select("c_custkey", "name", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
+
+
 @query("srt_03_newest_undated_last", "SELECT o_custkey, list(o_orderkey ORDER BY CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END DESC NULLS LAST, o_orderkey) AS missions FROM orders GROUP BY 1")
 def _(spark, d):
     """Missions newest first, those without a date last, else as they came."""
@@ -536,6 +551,15 @@ def _(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", days.cast("long").alias("days")).orderBy("days", "o_orderkey").limit(100)
 
 
+@query("srt_07_groups_by_name", "SELECT word, n, row_number() OVER (ORDER BY word COLLATE fr, word) AS position FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM conversations) GROUP BY 1) ORDER BY position LIMIT 500")
+def _(spark, d):
+    """The first 500 words of all turns in French order, with how often each stands there."""
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"), F.lit(1))).alias("word"))
+    order = [F.collate("word", "fr"), _C("word")]
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(500)
+    return top.select("word", "n", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
+
+
 @query("srt_08_merged_by_year", "SELECT kind, id, y FROM (SELECT 'order' AS kind, o_orderkey AS id, year(o_orderdate) AS y FROM orders UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber, year(l_shipdate) FROM lineitem) ORDER BY y DESC, kind, id LIMIT 100")
 def _(spark, d):
     a = table(spark, d, "orders").select(F.lit("order").alias("kind"), _C("o_orderkey").alias("id"), F.year("o_orderdate").cast("long").alias("y"))

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import io
+import itertools
 import math
 import re
 import wave
@@ -227,7 +228,7 @@ def fingerprints(payload):
 
 
 def grams(text):
-    """Hashed words, pairs and skip-pairs: {feature: value}"""
+    """Hashed words, pairs, skip-pairs and beginnings that several words share: {feature: value}"""
     raw = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in text.encode())
     h = [xxhash.xxh3_64_intdigest(w) for w in raw.split()]
 
@@ -237,7 +238,13 @@ def grams(text):
 
     out = {x >> 44: 1.0 for x in h}
     out |= {(1 << 20) + (pair(a, b, 0x51) >> 44): 0.3 for a, b in zip(h, h[1:], strict=False)}
-    return out | {(2 << 20) + (pair(a, b, 0xA7) >> 44): 0.3 for a, b in zip(h, h[2:], strict=False)}
+    out |= {(2 << 20) + (pair(a, b, 0xA7) >> 44): 0.3 for a, b in zip(h, h[2:], strict=False)}
+    words = sorted({w.decode() for w in raw.split()})
+    for size in (3, 4, 5, 6, 7):
+        for stem, group in itertools.groupby((w for w in words if len(w) > size), key=lambda w: w[:size]):  # noqa: B023
+            alike = len(list(group))
+            out |= {(3 << 20) + (xxhash.xxh3_64_intdigest(f"{stem} {m}".encode()) >> 44): 1.0 for m in (2, 3, 4) if alike >= m}
+    return out
 
 
 def ftrl(rows, epochs=8, l1=6.0, weight=2.0):

@@ -341,6 +341,19 @@ def test_toxicity_is_the_leader_that_is_followed(spark, sf_dir):
         assert got[i].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6) and got[i].held_out == (brute.crc_mod(i, 4) == 2)
 
 
+def test_stems_that_several_words_share():
+    found = {s.decode() for s in toxicity.stems({b"dummkopf", b"dummheit", b"dumme", b"dum", "dümmer".encode()})}
+    assert found == {"dum 2", "dum 3", "dumm 2", "dumm 3"} and toxicity.stems(set()) == [] == toxicity.stems({b"once"})
+    assert toxicity.features("").size == 0 and (toxicity.features("Dumme dumme") < 3 << toxicity.BITS).all()
+
+
+def test_held_out_toxic_documents_are_caught(spark):
+    sf = "/root/testdata/sf0.1"
+    held = toxicity.op9_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").groupBy("toxic").agg({"*": "count", "predicted": "sum"}).collect()
+    count = {r.toxic: (r["sum(predicted)"], r["count(1)"]) for r in held}
+    assert count[1][0] >= 0.9 * count[1][1] and count[0][0] <= 0.01 * count[0][1]
+
+
 def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
     """Ids that documents repeat don't make the one learning task longer."""
     rows = spark.createDataFrame([(k % 3, f"text {k}") for k in range(300)], "doc_id long, text string")

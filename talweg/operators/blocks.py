@@ -1,11 +1,11 @@
-"""A stated set of queries against all rows, in blocks of bounded size."""
+"""Blocks of bounded size: a stated set of queries against all rows, and batches of rows for Python."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1000
@@ -19,3 +19,11 @@ def queries_in_blocks(rows: DataFrame, queries: DataFrame, key: str, block: int
     n = max(1, math.ceil(queries.count() / block))
     own = lambda b: F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b))
     return reduce(DataFrame.unionAll, [rows.join(own(b), F.lit(True)) for b in range(n)])
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to 1024 rows and 16 MB, and keeps settings that are smaller."""
+    for name, most in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))

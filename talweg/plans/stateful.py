@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talweg.operators import pii
+from talweg.operators import parts, pii
 from talweg.plans.registry import query
 from talweg.sources.tables import table
 from talweg.streaming import events
@@ -63,6 +63,26 @@ def _(spark, d):
     return pii.detected(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "spans", F.sha2("masked", 256).alias("masked_sha256"))
 
 
+def mail_names(docs):
+    """name: the words, of three letters or more, with which e-mail names begin."""
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\d])(\p{L}{3,})[._0-9]*@"), F.lit(1))).alias("name")).distinct()
+
+
+@query("pii_06_lines")
+def _(spark, d):
+    """Personal data in all lines of all documents, with its surroundings: what one line tells is known in the lines after it."""
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return parts.detected(lines, "doc_id", "line", "text", mail_names(docs)).where(F.size("detections") > 0).select("doc_id", "line", "detections", F.sha2("masked", 256).alias("masked_sha256"))
+
+
+@query("pii_06_conversations")
+def _(spark, d):
+    """Personal data in all turns: a person named in one turn is known in the turns after it."""
+    found = parts.detected(table(spark, d, "conversations"), "conv_id", "turn", "text", mail_names(table(spark, d, "documents")))
+    return found.select("conv_id", "turn", F.size("detections").alias("n"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 @query("pii_07_references", "SELECT sha256(text) AS fingerprint, min(doc_id) AS first, max(doc_id) AS last, count(*) AS passes FROM documents GROUP BY 1")
 def _(spark, d):
     """A known fingerprint passes once more, a new one begins."""

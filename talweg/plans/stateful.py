@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talweg.operators import parts, pii
 from talweg.plans.registry import query
 from talweg.sources.tables import table
-from talweg.streaming import events
+from talweg.streaming import events, waits
 
 C = F.col
 
@@ -51,6 +51,39 @@ def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(C("l_returnflag") != "R", C("l_linenumber"))).alias("answered_by"))
 
 
+_HOUR, _DAY = 3_600_000, 86_400_000
+_QUORUM = f"""WITH a AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS asked, epoch_us(ts) // 1000 - epoch_us(date_trunc('day', ts)) // 1000 AS ms, epoch_us(date_trunc('day', ts)) // 1000 AS day FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, asked ORDER BY ms) AS k FROM a),
+ t AS (SELECT user_id, asked, any_value(day) AS day, least({18 * _HOUR}, coalesce(min(ms) FILTER (k = 2) + {2 * _HOUR}, {18 * _HOUR})) AS due, coalesce(min(ms) FILTER (k = 2) + {2 * _HOUR} <= {18 * _HOUR}, false) AS agreed FROM r GROUP BY 1, 2),
+ c AS (SELECT user_id, asked, day, due, agreed, count(*) FILTER (k <= 3 AND ms <= due) AS answers, max(ms) FILTER (k = 3 AND ms <= due) AS third FROM r JOIN t USING (user_id, asked, day) GROUP BY ALL)
+SELECT user_id, asked, CASE WHEN third IS NOT NULL THEN 'all' WHEN agreed THEN 'quorum' ELSE 'time' END AS ended_by, answers, coalesce(third, due) AS waited
+FROM c WHERE day + coalesce(third, due) < (SELECT epoch_us(max(ts)) // 1000 FROM events WHERE user_id IS NOT NULL) - {_HOUR}"""
+
+
+@query("stm_05_quorum_in_time", _QUORUM)
+def _(spark, d):
+    """Three answers of a user a day, as a stream: all, or two and two hours of grace, or what has come after 18 hours."""
+    answers = events.event_stream(spark, d).withColumn("asked", F.date_trunc("day", "ts"))
+    ended = waits.quorum_waits(answers, ["user_id"], "asked", "ts", 3, 2 * _HOUR, 18 * _HOUR, _DAY, "1 hour")
+    return events.drained(ended.withColumn("asked", C("asked").cast("timestamp_ntz")), "quorum")
+
+
+_CASCADE = """WITH a AS (SELECT l_orderkey, l_linenumber AS k, l_quantity AS needs, l_returnflag <> 'R' AS valid,
+ 60 - coalesce(sum(least(l_quantity, 40)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM lineitem),
+ b AS (SELECT *, rest >= 5 AS tried, rest >= 5 AND valid AND needs <= least(40, rest) AS good FROM a),
+ f AS (SELECT l_orderkey, min(k) FILTER (good) AS answered_by, min(k) FILTER (NOT tried) AS cut FROM b GROUP BY 1)
+SELECT l_orderkey, any_value(answered_by) AS answered_by, count(*) FILTER (tried AND k <= coalesce(answered_by, k)) AS attempts,
+ CASE WHEN any_value(answered_by) IS NOT NULL THEN 'answered' WHEN any_value(cut) IS NOT NULL THEN 'out of time' ELSE 'failed' END AS outcome,
+ sum(least(needs, 40, rest)) FILTER (tried AND k <= coalesce(answered_by, k)) AS seconds FROM b JOIN f USING (l_orderkey) GROUP BY 1"""
+
+
+@query("stm_06_cascade_in_time", _CASCADE)
+def _(spark, d):
+    """Services asked one after the other: each gets 40 seconds, all together 60, and none is begun with less than 5 left; the first valid answer ends it."""
+    calls = table(spark, d, "lineitem").select("l_orderkey", C("l_linenumber").alias("k"), C("l_quantity").cast("double").alias("needs"), (C("l_returnflag") != "R").alias("valid"))
+    return waits.cascades(calls, ["l_orderkey"], "k", "needs", "valid", 40.0, 60.0)
+
+
 @query("stm_08_closed_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2")
 def _(spark, d):
     """Events by day and kind, as a stream in append mode: days that are over."""

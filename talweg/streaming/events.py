@@ -22,11 +22,11 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote."""
+def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote; in the folder of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    out = shared_folder(spark, f"stream-{name}")
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/table")
+    out = folder or shared_folder(spark, f"stream-{name}")
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/table")
     stream.writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/table/batch={k}")).option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/table")
 

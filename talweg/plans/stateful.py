@@ -68,13 +68,13 @@ def _(spark, d):
     return events.drained(ended.withColumn("asked", C("asked").cast("timestamp_ntz")), "quorum")
 
 
-_CASCADE = """WITH a AS (SELECT l_orderkey, l_linenumber AS k, l_quantity AS needs, l_returnflag <> 'R' AS valid,
- 60 - coalesce(sum(least(l_quantity, 40)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM lineitem),
+_CASCADE = """WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity AS needs, l_returnflag <> 'R' AS valid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag <> 'R') AS k FROM lineitem),
+ a AS (SELECT *, 60 - coalesce(sum(least(needs, 40)) OVER (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM n),
  b AS (SELECT *, rest >= 5 AS tried, rest >= 5 AND valid AND needs <= least(40, rest) AS good FROM a),
- f AS (SELECT l_orderkey, min(k) FILTER (good) AS answered_by, min(k) FILTER (NOT tried) AS cut FROM b GROUP BY 1)
-SELECT l_orderkey, any_value(answered_by) AS answered_by, count(*) FILTER (tried AND k <= coalesce(answered_by, k)) AS attempts,
- CASE WHEN any_value(answered_by) IS NOT NULL THEN 'answered' WHEN any_value(cut) IS NOT NULL THEN 'out of time' ELSE 'failed' END AS outcome,
- sum(least(needs, 40, rest)) FILTER (tried AND k <= coalesce(answered_by, k)) AS seconds FROM b JOIN f USING (l_orderkey) GROUP BY 1"""
+ f AS (SELECT l_orderkey, min(k) FILTER (good) AS first, min(k) FILTER (NOT tried) AS cut FROM b GROUP BY 1)
+SELECT l_orderkey, any_value(l_linenumber) FILTER (k = first) AS answered_by, count(*) FILTER (tried AND k <= coalesce(first, k)) AS attempts,
+ CASE WHEN any_value(first) IS NOT NULL THEN 'answered' WHEN any_value(cut) IS NOT NULL THEN 'out of time' ELSE 'failed' END AS outcome,
+ sum(least(needs, 40, rest)) FILTER (tried AND k <= coalesce(first, k)) AS seconds FROM b JOIN f USING (l_orderkey) GROUP BY 1"""
 
 
 @query("stm_06_cascade_in_time", _CASCADE)

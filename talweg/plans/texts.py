@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import records, scores
 from talweg.functions.text import fold
-from talweg.operators import envelopes, offers, resumes, search
+from talweg.operators import envelopes, offers, resumes, search, skills
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans.registry import query
 from talweg.sources.tables import stored, table
@@ -225,3 +225,28 @@ def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", lines.alias("lines")).select("doc_id", F.array_join(made, "\n").alias("text"))
     found = resumes.parts(docs, "doc_id", "text", SECTIONS).where("kind = 'entry' and section != 'intro'")
     return found.select("doc_id", "section", "part", "title", "subtitle", "period", F.size("items").alias("bullets"))
+
+
+# Skills of parts: the two words of a name around a slash, spelt in eight ways; the dictionary knows words with a `t`, and pairs from `blue` and `red`
+_WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part"
+_SLASHES = f"""WITH known AS ({_WORDS}), two AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_partkey % 8 AS way, p_brand FROM part),
+ spelt AS (SELECT *, CASE way WHEN 2 THEN upper(left(a, 3)) WHEN 3 THEN upper(a) ELSE a END AS x, CASE way WHEN 2 THEN upper(left(b, 3)) WHEN 3 THEN upper(b) ELSE b END AS y FROM two),
+ ruled AS (SELECT *, way NOT IN (4, 5, 6, 7) AND (((a = 'blue' OR a = 'red') AND way <> 2) OR (NOT ((contains(a, 't') AND contains(b, 't')) AND way <> 2) AND length(x) <= 5 AND length(y) <= 5 AND way IN (2, 3))) AS whole FROM spelt),
+ cells AS (SELECT p_partkey, unnest(CASE WHEN whole THEN [x || '/' || y] ELSE [x, y] END || [p_brand]) AS piece, generate_subscripts(CASE WHEN whole THEN [x || '/' || y] ELSE [x, y] END || [p_brand], 1) AS k FROM ruled),
+ named AS (SELECT p_partkey, k, CASE WHEN lower(piece) IN (SELECT w FROM known WHERE contains(w, 't')) THEN upper(piece) WHEN regexp_matches(lower(piece), '^(blue|red)/') AND lower(split_part(piece, '/', 2)) IN (SELECT w FROM known) THEN upper(piece) ELSE piece END AS skill FROM cells),
+ firsts AS (SELECT p_partkey, min(k) AS k, arg_min(skill, k) AS skill FROM named GROUP BY p_partkey, lower(skill))
+SELECT p_partkey, string_agg(skill, '|' ORDER BY k) AS skills FROM firsts GROUP BY 1"""
+
+
+@query("str_05_slash_lists", _SLASHES)
+def _(spark, d):
+    """The skills of all parts: slashes between their words part or join, by the dictionary and by acronyms; one name each."""
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("b"), "p_brand")
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    pairs = words.select(F.explode(F.transform(F.array(F.lit("blue"), F.lit("red")), lambda x: F.concat(x, F.lit("/"), F.col("w")))).alias("alias"))
+    known = words.where("contains(w, 't')").select(C("w").alias("alias")).unionAll(pairs).select("alias", F.upper("alias").alias("name"))
+    way = C("p_partkey") % 8
+    short = lambda c: F.when(way == 2, F.upper(F.left(c, F.lit(3)))).when(way == 3, F.upper(c)).otherwise(C(c))
+    between = F.when(way == 4, " / ").when(way == 5, ", ").when(way == 6, "/ ").when(way == 7, ";").otherwise("/")
+    lists = parts.select("p_partkey", F.array(F.concat(short("a"), between, short("b")), "p_brand").alias("items"))
+    return skills.flat_skills(lists, "items", known).select("p_partkey", F.array_join("skills", "|").alias("skills"))

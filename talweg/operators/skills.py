@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions.labels import compact_key, label_key
+from talweg.functions.labels import canonical, compact_key, label_key
 from talweg.functions.text import fold
 from talweg.operators.blocks import bounded_batches
 from talweg.sources.tables import stored
@@ -122,3 +122,24 @@ def flat_skills(df: DataFrame, items: str, dictionary: DataFrame) -> DataFrame:
     made = first.groupBy("items").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["skill"]).alias("skills"))
     done = packed.join(made, packed["items"].eqNullSafe(made["items"]), "left")
     return done.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "skills"], F.coalesce("skills", F.expr("array()").cast("array<string>")).alias("skills"))
+
+
+def by_category(terms: DataFrame, key: str, at: str, term: str, dictionary: DataFrame, order: list[str], rest: str) -> DataFrame:
+    """key and groups: for each key its terms under the categories of their names, array of (category, items).
+
+    Terms are looked up as `functions.labels.canonical` does in `dictionary` (alias, name, category); categories stand in
+    `order` and have their names once each, by the smallest `at`; terms without a name, or of a category that is not in
+    `order`, end in `rest`, once each but for case. Categories without items are left out; null and blank terms are none,
+    and a key with nothing else has no row. Each distinct term is looked up once, however many rows have it.
+    """
+    shown = F.trim(F.regexp_replace(terms[term].cast("string"), r"(?U)\s+", " "))
+    own = terms.select(terms[key].alias("key"), terms[at].alias("at"), shown.alias("term")).where("term <> ''").groupBy("key", "term").agg(F.min("at").alias("at"))
+    known = dictionary.where(F.col("category").isin(order)).select("alias", F.struct("name", "category").alias("entry"))
+    looked = canonical(own.select("term").distinct(), "term", known, "alias", "entry").select("term", F.col("canonical.name").alias("name"), F.col("canonical.category").alias("category"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("category")), F.lit(len(order) + 1)).cast("int")
+    named = own.join(looked, "term").select("key", "at", rank.alias("rank"), F.coalesce("name", "term").alias("item"), F.coalesce("name", F.lower("term")).alias("alike"))
+    once = named.groupBy("key", "rank", "alike").agg(F.min(F.struct("at", "item")).alias("one"))
+    groups = once.groupBy("key", "rank").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["item"]).alias("items"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("rank", "items")))
+    label = F.array(*map(F.lit, [*order, rest]))
+    return groups.groupBy("key").agg(F.transform(sorted_, lambda g: F.struct(F.element_at(label, g["rank"]).alias("category"), g["items"].alias("items"))).alias("groups")).withColumnRenamed("key", key)

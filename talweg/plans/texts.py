@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.functions import records, scores
+from talweg.functions import records, report, scores
 from talweg.functions.text import fold
 from talweg.operators import envelopes, offers, resumes, search, skills
 from talweg.operators.blocks import queries_in_blocks
@@ -250,3 +250,44 @@ def _(spark, d):
     between = F.when(way == 4, " / ").when(way == 5, ", ").when(way == 6, "/ ").when(way == 7, ";").otherwise("/")
     lists = parts.select("p_partkey", F.array(F.concat(short("a"), between, short("b")), "p_brand").alias("items"))
     return skills.flat_skills(lists, "items", known).select("p_partkey", F.array_join("skills", "|").alias("skills"))
+
+
+@query(
+    "agg_14_category_order",
+    """WITH w AS (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part),
+ c AS (SELECT p_brand, p_partkey, word, CASE left(word, 1) WHEN 'b' THEN 2 WHEN 'r' THEN 1 WHEN 's' THEN 1 ELSE 4 END AS rank FROM w),
+ f AS (SELECT p_brand, rank, word, min(p_partkey) AS seen FROM c GROUP BY 1, 2, 3),
+ g AS (SELECT p_brand, rank, string_agg(CASE rank WHEN 4 THEN word ELSE upper(word) END, ',' ORDER BY seen, word) AS items FROM f GROUP BY 1, 2)
+ SELECT p_brand, string_agg(CASE rank WHEN 1 THEN 'tools' WHEN 2 THEN 'bases' ELSE 'other' END || ':' || items, ';' ORDER BY rank) AS groups FROM g GROUP BY 1""",
+)
+def _(spark, d):
+    """The words of each brand's parts under categories in a fixed order, by their first part; unknown ones last."""
+    words = table(spark, d, "part").select("p_brand", "p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    first = F.left("word", F.lit(1))
+    known = words.select("word").distinct().select(C("word").alias("alias"), F.upper("word").alias("name"), F.when(first == "b", "bases").when(first.isin("r", "s"), "tools").when(first == "t", "unlisted").alias("category")).where("category IS NOT NULL")
+    found = skills.by_category(words, "p_brand", "p_partkey", "word", known, ["tools", "bases", "clouds"], "other")
+    return found.select("p_brand", F.array_join(F.transform("groups", lambda g: F.concat(g["category"], F.lit(":"), F.array_join(g["items"], ","))), ";").alias("groups"))
+
+
+@query(
+    "agg_10_rubrics",
+    """WITH r AS (SELECT doc_id, regexp_matches(coalesce(string_split(text, chr(10))[2], ''), '[^\\s]')::INT AS name, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 80)), 0) AS entries,
+ (lang IS NOT NULL)::INT + (source IS NOT NULL)::INT AS contact, coalesce(n_chars // 1000, 0) AS years FROM documents)
+ SELECT doc_id, name, entries, contact, years, list_filter([CASE WHEN name = 0 THEN 'name' END, CASE WHEN entries = 0 THEN 'entries' END, CASE WHEN contact = 0 THEN 'contact' END, CASE WHEN years = 0 THEN 'years' END], lambda x: x IS NOT NULL) AS missing, name > 0 AND entries > 0 AS usable FROM r""",
+)
+def _(spark, d):
+    """What each document holds as a record (second line, long lines, source, length), what is missing, and whether it can be used."""
+    lines = F.split("text", "\n")
+    docs = table(spark, d, "documents").select("doc_id", F.get(lines, F.lit(1)).alias("name"), F.filter(lines, lambda x: F.length(x) > 80).alias("entries"), F.struct("lang", "source").alias("contact"), F.expr("n_chars div 1000").alias("years"))
+    rubrics = {c: c for c in ("name", "entries", "contact", "years")}
+    counts, missing, usable = report.fill_report(docs, rubrics, ["name", "entries"])
+    return docs.select("doc_id", *[counts[c].alias(c) for c in rubrics], missing.alias("missing"), usable.alias("usable"))
+
+
+@query("arr_02_first_of_key", "WITH w AS (SELECT p_type, p_partkey, unnest(string_split(p_brand || ' ' || upper(p_name) || ' ' || p_name, ' ')) AS item, unnest(range(5)) AS nth FROM part), f AS (SELECT p_type, min(p_partkey * 8 + nth) AS seen, arg_min(item, p_partkey * 8 + nth) AS item FROM w GROUP BY p_type, lower(item)) SELECT p_type, list(item ORDER BY seen) AS items FROM f GROUP BY 1")
+def _(spark, d):
+    """The items of each type's parts, flattened in order; of those alike but for case the first stays."""
+    items = F.split(F.concat_ws(" ", "p_brand", F.upper("p_name"), "p_name"), " ")
+    flat = table(spark, d, "part").select("p_type", "p_partkey", F.posexplode(items).alias("nth", "item"))
+    first = flat.groupBy("p_type", F.lower("item").alias("alike")).agg(F.min(F.struct("p_partkey", "nth", "item")).alias("one"))
+    return first.groupBy("p_type").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["item"]).alias("items"))

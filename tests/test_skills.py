@@ -1,6 +1,8 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from talweg.functions import report
 from talweg.operators import skills
 
 DICTIONARY = [("plsql", "PL/SQL"), ("ci/cd", "CI/CD"), ("C/C++", "C/C++"), ("pub/sub", "Pub/Sub"), ("aws", "AWS"), ("gcp", "GCP"), ("google cloud", "GCP"), ("ssis", "SSIS"), ("ssrs", "SSRS"), ("SQL", "SQL"), ("nosql", "NoSQL"), ("ml", "Machine Learning"), ("dl", "Deep Learning"), ("j2ee", "J2EE"), ("java", "Java")]
@@ -52,3 +54,22 @@ def plainly(segment, known):
 def test_cut_is_the_plain_rule(segment, known):
     assert skills.cut(segment, known) == plainly(segment, known)
     assert skills.cut(segment, known & skills.asked_words(segment, 30)) == plainly(segment, known)
+
+
+def test_categories_in_their_order(spark):
+    rows = [(1, 3, "aws"), (1, 1, "Python"), (1, 2, "python "), (1, 0, "Zumba"), (1, 9, "ZUMBA"), (1, 4, None), (1, 5, "  "), (1, 6, "Google Cloud"), (1, 7, "odd"), (None, 1, "AWS"), (2, 1, "")]
+    known = spark.createDataFrame([("aws", "AWS", "cloud"), ("google-cloud", "GCP", "cloud"), ("python", "Python", "code"), ("odd", "Odd", "elsewhere")], "alias string, name string, category string")
+    df = spark.createDataFrame(rows, "id long, at int, term string").selectExpr("id", "at", "term", "'x' AS name", "1 AS rank")
+    got = {r.id: [(g.category, g["items"]) for g in r.groups] for r in skills.by_category(df, "id", "at", "term", known, ["code", "data", "cloud"], "other").collect()}
+    assert got == {1: [("code", ["Python"]), ("cloud", ["AWS", "GCP"]), ("other", ["Zumba", "odd"])], None: [("cloud", ["AWS"])]}
+    assert skills.by_category(df.where("false"), "id", "at", "term", known, ["code"], "other").count() == 0
+
+
+def test_fill_report(spark):
+    df = spark.createDataFrame([(["a", ""], {"x": " ", "y": "1"}, ("a", None), 2.9, " ", None), (None, None, None, None, None, "b")], "a array<string>, m map<string,string>, s struct<p: string, q: int>, n double, t string, u string")
+    counts, missing, usable = report.fill_report(df, {k.upper(): k for k in df.columns}, ["A", "U"])
+    got = [(r[0], r[1], r[2]) for r in df.select(counts, missing, usable).collect()]
+    assert got[0] == ({"A": 2, "M": 1, "S": 1, "N": 2, "T": 0, "U": 0}, ["T", "U"], False)
+    assert got[1] == ({"A": 0, "M": 0, "S": 0, "N": 0, "T": 0, "U": 1}, ["A", "M", "S", "N", "T"], False)
+    with pytest.raises(ValueError):
+        report.fill_report(df, {"A": "a"}, ["B"])

@@ -105,7 +105,7 @@ def detected(parts: DataFrame, group: str, part: str, text: str, first_names: Da
                     taken.put("identite", a, b)
                 near = lambda a, b: f"…{t[max(0, a - AROUND) : a]}❰{t[a:b]}❱{t[b : b + AROUND]}…"  # noqa: B023, E731
                 out.append([{"type": k, "start": a, "end": b, "context": near(a, b)} for k, a, b in taken.spans])
-                masked.append(t and pii.mask(t, taken.spans))
+                masked.append(pii.mask(t, taken.spans) if taken.spans else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([*_PLACE, ("context", pa.string())]))), pa.array(masked, pa.string())], names=[group, part, "detections", "masked"])
 
     own = told.select("g", "p", "t", "spans", "known", "words")

@@ -376,6 +376,8 @@ def known_words(text: str, spans: Iterable[tuple[str, int, int]]) -> set[str]:
 
 def elsewhere(text: str, words: Collection[str]) -> Iterator[tuple[int, int]]:
     """Where these words stand by themselves, whatever their case and accents: from the left, the longest first."""
+    if not words:
+        return
     begins: dict[str, list[str]] = {}
     for w in sorted(words, key=lambda w: (-len(w), w)):
         begins.setdefault(_RUNS.match(w)[0], []).append(w)

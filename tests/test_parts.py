@@ -86,7 +86,7 @@ def test_one_whole_of_many_parts(spark):
 def test_all_lines_of_all_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").collect()
     rows = [(d.doc_id, i, x) for d in docs for i, x in enumerate(d.text.split("\n"))]
-    names = {pii.plain(r.name) for r in catalogue.stateful.mail_names(table(spark, sf_dir, "documents")).collect()}
+    names = {pii.plain(r.name) for r in catalogue.stateful.first_names(spark, sf_dir).collect()}
     want = brute(rows, names)
     got = catalogue.QUERIES["pii_06_lines"](spark, sf_dir).collect()
     assert got and len(got) == sum(bool(spans) for spans, _ in want.values())

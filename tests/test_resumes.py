@@ -75,3 +75,18 @@ def test_parts(spark):
     for k in want:
         assert got.get(k) == want[k], (k, texts[k] if k < 300 else k)
     assert set(got) == set(want)
+
+
+def test_headings_without_letters(spark, tmp_path):
+    """A heading that begins with `chez` has no separator, in the query and in its oracle; one with a year in brackets is as before."""
+    import duckdb
+
+    from talweg.plans import catalogue
+
+    texts = ["a\n2024 !\nb\nc\nd\ne\n12\nf", "a\nShop\n5\n6", "\n".join(str(i) for i in range(70))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["ext_02_entries"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert (0, "experience", 0, "chez Maison 1", "", "", 4) in got
+    assert got == sorted(con.execute(catalogue.ORACLES["ext_02_entries"]).fetchall())

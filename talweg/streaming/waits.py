@@ -5,8 +5,9 @@ quorum (all but one, two at least), or `limit` after it was asked, whichever is
 the n-th, do not count. A wait is told once no answer can change it: when the watermark has passed its end.
 
 The state of a question is its `n` earliest answers and whether it was told, so it is bounded whatever the order and number
-of the rows; a timer of the event time tells it and, once the watermark has passed all moments that the question may have,
-removes it. Answers that come out of order within the watermark's delay give the same result as in order; those beyond the
+of the rows. Python is called for `BUCKETS` groups of questions in each span of the horizon, not for each question, which costs
+some milliseconds a call; a group's state is that of its questions, and grows with them. A timer of the event time tells those
+whose wait is over and, once the watermark has passed all moments that a question may have, removes it. Answers that come out of order within the watermark's delay give the same result as in order; those beyond the
 delay are dropped by Spark. A restarted stream goes on from its checkpoint.
 
 Moments are whole milliseconds. Rows without a moment, an asked moment or any part of the key belong to no question;
@@ -17,9 +18,10 @@ A cascade asks one service after the other within a budget of time (`cascades`,
 
 from __future__ import annotations
 
+import pickle
+from bisect import insort
 from collections.abc import Iterator
 from functools import reduce
-from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BUCKETS = 64
+
+
 def wait_end(asked: int, answers: list[int], n: int, grace: int, limit: int) -> tuple[int, str, int]:
     """(end, why, answers that count) for the earliest answers, in order."""
     last = asked + limit
@@ -39,40 +44,57 @@ def wait_end(asked: int, answers: list[int], n: int, grace: int, limit: int) ->
     return end, why, sum(a <= end for a in answers[:n])
 
 
-def quorum_waits(stream: DataFrame, key: list[str], asked: str, at: str, n: int, grace: int, limit: int, horizon: int, delay: str) -> DataFrame:
+def _values(column: pd.Series) -> list:
+    """The values of a column; NaN, which equals nothing, as None."""
+    return [v if v == v else None for v in column.tolist()]
+
+
+def quorum_waits(stream: DataFrame, key: list[str], asked: str, at: str, n: int, grace: int, limit: int, horizon: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """key, asked, ended_by (all, quorum, time), answers, waited (ms) of each wait that is over, as a stream.
 
     `at` is the moment of an answer and `asked` that of its question; grace, limit and `horizon` (after which a question has
-    no more rows) are milliseconds, `limit` at most `horizon`."""
+    no more rows) are milliseconds, `limit` at most `horizon`. Keys are plain values (no arrays)."""
     if not 0 <= limit <= horizon:
         raise ValueError("the limit must lie within the horizon")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, asked, at]])
     rows = stream.where(known).withWatermark(at, delay).select(*key, asked, at, F.unix_millis(asked).alias("asked_ms"), F.unix_millis(at).alias("at_ms"))
 
     def each(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        asked_ms = int(group[-1])
-        answers, told = state.get if state.exists else ([], False)
-        answers = list(answers)
+        questions = pickle.loads(state.get[0]) if state.exists else {}
         if not state.hasTimedOut:
             for b in batches:
-                answers = nsmallest(n, [*answers, *map(int, b["at_ms"])])
-        now, gone = state.getCurrentWatermarkMs(), asked_ms + horizon
-        end, why, count = wait_end(asked_ms, answers, n, grace, limit)
-        if not told and end < now:
-            told = True
-            yield pd.DataFrame([(*group, why, count, end - asked_ms)], columns=names)
-        if told and gone < now:
-            if state.exists:
-                state.remove()
-            return
-        state.update((answers, told))
-        state.setTimeoutTimestamp(max(gone if told else end, now + 1))
+                for question, ms in zip(zip(*(_values(b[c]) for c in (*key, "asked_ms")), strict=True), b["at_ms"].tolist(), strict=True):
+                    answers, _ = questions.setdefault(question, ([], False))
+                    if len(answers) < n or ms < answers[-1]:
+                        insort(answers, ms)
+                        del answers[n:]
+        now, out, due = state.getCurrentWatermarkMs(), [], None
+        for question, (answers, told) in list(questions.items()):
+            gone = question[-1] + horizon
+            if not told:
+                end, why, count = wait_end(question[-1], answers, n, grace, limit)
+                if told := end < now:
+                    out.append((*question, why, count, end - question[-1]))
+                    questions[question] = answers, told
+            if told and gone < now:
+                del questions[question]
+                continue
+            next_due = gone if told else end
+            due = next_due if due is None else min(due, next_due)
+        if questions:
+            state.update((pickle.dumps(questions),))
+            state.setTimeoutTimestamp(max(due, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     fields = [*(rows.schema[c] for c in key), T.StructField("asked_ms", T.LongType())]
     out = T.StructType([*fields, *T.StructType.fromDDL("ended_by string, answers long, waited long").fields])
     names = out.names
-    kept = T.StructType.fromDDL("answers array<long>, told boolean")
-    found = rows.groupBy(*key, "asked_ms").applyInPandasWithState(each, out, kept, "append", "EventTimeTimeout")
+    kept = T.StructType.fromDDL("questions binary")
+    rows = rows.withColumns({"_span": F.floor(F.col("asked_ms") / max(horizon, 1)), "_bucket": F.pmod(F.xxhash64(*key, "asked_ms"), F.lit(buckets))})
+    found = rows.groupBy("_span", "_bucket").applyInPandasWithState(each, out, kept, "append", "EventTimeTimeout")
     return found.select(*key, F.timestamp_millis("asked_ms").alias(asked), "ended_by", "answers", "waited")
 
 

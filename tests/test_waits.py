@@ -103,3 +103,12 @@ def test_cascades(spark):
     assert got == {k: asked(cs, 40.0, 60.0) for k, cs in chains.items()}
     assert {v[2] for v in got.values()} == {"answered", "failed", "out of time"}
     assert waits.cascades(df.where("false"), ["key"], "nth", "needs", "valid", 40.0, 60.0).count() == 0
+
+
+def test_python_is_not_called_for_each_question(spark, tmp_path):
+    """Thousands of questions of one day are waited for in a bounded number of groups, and told as they would be one by one."""
+    rows = [(u, d * DAY + ms) for u in range(3000) for d, ms in ((0, u), (0, 1000 + u), (1, 119_000))] + [(0, 3 * DAY)]
+    put(spark, rows, f"{tmp_path}/in")
+    assert run(spark, f"{tmp_path}/in", f"file://{tmp_path}/state") == told(rows, 3 * DAY - 60_000)
+    kept = spark.read.format("statestore").load(f"file://{tmp_path}/state/state")
+    assert kept.count() <= 3 * waits.BUCKETS

@@ -99,3 +99,28 @@ def test_years_asked(spark):
     cases = [("5 ans d'expérience, 8 ans sur X", 5), ("minimum 3 années", 3), ("au moins 12 ans", 12), ("7+ ans", 7), ("de 5 à 7 ans", 5), ("il y a 40 ans", None), ("depuis 4 ans et 6 ans", 6), ("", None), (None, None)]
     df = spark.createDataFrame(cases, "t string, n int")
     assert [r.got for r in df.select(offers.years_asked(F.col("t")).alias("got")).collect()] == [n for _, n in cases]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Sums over shared names of all pairs, in blocks: as a plain double loop has them, and no join or exchange of pairs."""
+    import random
+
+    rng, kind = random.Random(4), "array<struct<sum int, name string, value double>>"
+    some = lambda: [(k, n, rng.choice([0.5, 1.0, 2.5])) for k in range(2) for n in rng.sample("abcdefgh", rng.randrange(5))]
+    has, asks = [(i, rng.choice([None, some()])) for i in range(600)], [(-i, f"t{i}", some()) for i in range(30)] + [(None, None, None)]
+    rows, queries = spark.createDataFrame(has, f"p long, has {kind}"), spark.createDataFrame(asks, f"q long, t string, asks {kind}")
+    pairs = offers.shared_sums(rows, queries, ["x", "y"])
+    want = set()
+    for p, own in has:
+        for q, t, theirs in asks:
+            asked = {(k, n): v for k, n, v in theirs or ()}
+            want.add((p, q, t, *(sum(v * asked[k, n] for k, n, v in own or () if k == axis and (k, n) in asked) for axis in (0, 1))))
+    got = pairs.collect()
+    assert len(got) == 600 * 31 and {tuple(r) for r in got} == want
+    assert offers.shared_sums(rows, queries.where("false"), ["x"]).count() == 0
+
+
+def test_all_profiles_meet_all_offers_in_blocks(spark, sf_dir):
+    """Exchanges of the plan come before the pairs are made."""
+    plan = QUERIES["sco_16_offers_profiles"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Exchange", "Join"))

@@ -124,3 +124,20 @@ def test_all_profiles_meet_all_offers_in_blocks(spark, sf_dir):
     """Exchanges of the plan come before the pairs are made."""
     plan = QUERIES["sco_16_offers_profiles"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Exchange", "Join"))
+
+
+def test_letters_within_words_cost_nothing(spark):
+    """Terms of words are looked for from word to word, not at each letter, and their tree is bounded like the automaton."""
+    import random
+    import tracemalloc
+
+    known = search._Dictionary([(w, w, w, None, None, None) for w in ("a", "e", "a b", "a b c", "b c d", "c++")])
+    assert sorted((h[0], h[1], h[2]) for h in known.hits("banane a b  c d a b c++ eae -e.a")) == [(7, 8, "a"), (7, 10, "a b"), (16, 17, "a"), (16, 19, "a b"), (16, 21, "a b c"), (20, 23, "c++")] and not list(known.automaton.iter("banane a b c d a e"))
+    rng = random.Random(2)
+    terms = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(2)) for _ in range(search.BLOCK // 13)]
+    tracemalloc.start()
+    try:
+        kept = search._Dictionary([(t, t, t, None, None, None) for t in terms])
+        assert kept.words and tracemalloc.get_traced_memory()[0] < 96 << 20
+    finally:
+        tracemalloc.stop()

@@ -12,6 +12,8 @@ confidence counts if it is a number, evidence if it is a list, of which texts th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,12 @@ _NUMBER = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 def _opened(nodes: DataFrame) -> DataFrame:
     """The nodes with kind: envelope, object, list or value."""
-    keys = F.json_object_keys(F.to_json("v"))
-    envelope = F.array_contains(keys, "value") & F.arrays_overlap(keys, F.array(*map(F.lit, MARKERS)))
-    shape = F.schema_of_variant("v")
-    empty = F.to_json("v").isin("{}", "[]")
-    return nodes.withColumn("kind", F.when(empty, "value").when(shape.startswith("OBJECT"), F.when(envelope, "envelope").otherwise("object")).when(shape.startswith("ARRAY"), "list").otherwise("value"))
+    has = lambda name: F.try_variant_get("v", f"$.{name}", "variant").isNotNull()
+    envelope = has("value") & reduce(lambda a, b: a | b, map(has, MARKERS))
+    shape = F.col("shape")
+    empty = shape.isin("OBJECT<>", "ARRAY<VOID>") & F.to_json("v").isin("{}", "[]")
+    nodes = nodes.withColumn("shape", F.schema_of_variant("v"))
+    return nodes.withColumn("kind", F.when(empty, "value").when(shape.startswith("OBJECT"), F.when(envelope, "envelope").otherwise("object")).when(shape.startswith("ARRAY"), "list").otherwise("value")).drop("shape")
 
 
 def flattened(records: DataFrame, key: str, record: Column) -> tuple[DataFrame, DataFrame]:

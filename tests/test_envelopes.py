@@ -60,3 +60,10 @@ def test_moved_paths(spark):
     df = spark.createDataFrame([(*p, n) for n, p in enumerate(paths)], "id int, path string, n int")
     got = sorted((r.row.n, r.to) for r in envelopes.moved(df, "id", "path", moves.unionByName(more)).collect())
     assert got == [(0, "job[1].t"), (1, "job[0].items[3].x"), (2, "job[1].items[5]"), (5, "other[4]"), (6, "name"), (7, "job[7].t"), (8, "job[1].t"), (9, "a[0][2].b")]
+
+
+def test_records_of_one_file_are_spread(spark, sf_dir):
+    """One file of events is read by one task; what is made of it is made by all cores."""
+    from talweg.plans import texts
+
+    assert texts._envelopes(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

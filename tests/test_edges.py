@@ -1,14 +1,16 @@
 """Nulls, ties, repeated rows and empty tables of the library's operators."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
 from talweg.functions import labels
 from talweg.functions.text import fold
-from talweg.operators import intervals, store
+from talweg.operators import blocks, intervals, store
 from talweg.operators.blocks import queries_in_blocks
 from talweg.plans import catalogue
+from talweg.sources.tables import table
 
 
 def test_upsert_with_null_keys_and_empty_tables(spark):
@@ -89,6 +91,17 @@ def test_either_key_attaches_all_requests(spark, tmp_path):
     assert got == {(*key, min(x)) for key, x in found.items() if x}
 
 
+def test_either_key_deals_even_shares(spark, sf_dir, monkeypatch):
+    """More requests make more shares, not larger ones; no side of the joins is sorted, and repeated contracts repeat no request."""
+    monkeypatch.setattr(blocks, "SHARE", 500)
+    df = catalogue.QUERIES["joi_06_either_key"](spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").count()
+    assert df.rdd.getNumPartitions() == math.ceil(2 * lines / 500)
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    sizes = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1000
+
+
 def test_differences_over_whole_tables(spark, tmp_path):
     """Words of the last rows count, and the verdict is there when nothing differs."""
 

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.dates import issued_date
-from talweg.functions.labels import LEGAL_FORMS, document_type
-from talweg.functions.text import fold
+from talweg.functions.labels import LEGAL_FORMS, document_type, document_type_in
+from talweg.functions.text import fold, squashed
 
 #: What a kind is called, and what a company's name stands behind.
 KINDS = {"kbis": "Extrait Kbis", "urssaf": "Document URSSAF", "fiscale": "Attestation de régularité fiscale", "rib": "RIB", "cni": "Pièce d'identité"}
 VIGILANCE = "Attestation de vigilance URSSAF"
 NAMED = r"(?i)(?:D[ée]nomination(?:\s+sociale)?|Raison\s+sociale|Soci[ée]t[ée])\s*:?\s*([^\n]{2,80})"
 SHORTEST = 15
+LIGATURES = (("Œ", "OE"), ("œ", "oe"), ("Æ", "AE"), ("æ", "ae"))
 
 
 def _plain(c: Column) -> Column:
-    for a, b in (("Œ", "OE"), ("œ", "oe"), ("Æ", "AE"), ("æ", "ae")):
+    for a, b in LIGATURES:
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(F.upper(c)), "[^A-Z0-9 ]", " "), " +", " "))
+    return F.trim(squashed(fold(F.upper(c))))
+
+
+def _key(text: Column, plain: Column) -> Column:
+    """`document_type`, out of the plain form where that is the same: a text without ligatures."""
+    joined = reduce(or_, (F.contains(text, F.lit(a)) for a, _ in LIGATURES))
+    return F.when(joined, document_type(text)).otherwise(document_type_in(plain))
 
 
 def named_in(plain: Column, expected: Column) -> Column:
@@ -35,8 +45,8 @@ def with_analysis(df: DataFrame, text: str, expected: Column, today: str, out: s
     of their own beside the packed row, so that a text is read once for each and no name of the input clashes."""
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.trim(F.coalesce(df[text], F.lit("")), F.lit(" \t\r\n")).alias("t"), expected.alias("expected"))
     company = F.nullif(F.regexp_replace(F.trim(F.regexp_extract("t", NAMED, 1)), r"\s+", " "), F.lit(""))
-    rows = rows.withColumns({"plain": _plain(F.col("t")), "key": document_type(F.col("t")), "issued": issued_date(F.col("t"), today), "company": company})
-    rows = rows.withColumns({"there": named_in(F.col("plain"), F.col("expected")), "readable": F.length("t") >= SHORTEST})
+    rows = rows.withColumns({"plain": _plain(F.col("t")), "issued": issued_date(F.col("t"), today), "company": company})
+    rows = rows.withColumns({"key": _key(F.col("t"), F.col("plain")), "there": named_in(F.col("plain"), F.col("expected")), "readable": F.length("t") >= SHORTEST})
     key, issued, there, readable = map(F.col, ("key", "issued", "there", "readable"))
     kind = F.lit("Document non identifié")
     for k, name in KINDS.items():

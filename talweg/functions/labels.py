@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.functions.text import fold
+from talweg.functions.text import fold, squashed
 
 
 def label_key(c: Column) -> Column:
@@ -62,12 +62,19 @@ DOCUMENT_PHRASES = {
 
 def document_type(text: Column) -> Column:
     """The first kind of which a phrase is in the text in capitals without accents, whatever signs stand between its words; empty if none."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(fold(F.upper(text)), "[^A-Z0-9]+", " "), F.lit(" "))
-    kind = F.lit("")
-    for name, phrases in reversed(DOCUMENT_PHRASES.items()):
-        there = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(plain, p))
-        kind = F.when(there, name).otherwise(kind)
-    return kind
+    return document_type_in(squashed(fold(F.upper(text))))
+
+
+def document_type_in(plain: Column) -> Column:
+    """`document_type` of a text in its plain form. That is a lambda's argument, so that a text is made plain once, not for every phrase."""
+    def kind_of(padded: Column) -> Column:
+        kind = F.lit("")
+        for name, phrases in reversed(DOCUMENT_PHRASES.items()):
+            there = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(padded, p))
+            kind = F.when(there, name).otherwise(kind)
+        return kind
+
+    return F.get(F.transform(F.array(F.concat(F.lit(" "), plain, F.lit(" "))), kind_of), 0)
 
 
 def phone_e164(c: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import analysis, dates, labels
+from talweg.functions.text import ACCENTED, BASE
 from talweg.operators import mappings
 from talweg.sources.tables import table
 
@@ -71,6 +72,28 @@ def test_analysis(spark):
     assert analysis.with_analysis(df.where("false"), "t", F.col("issued"), TODAY).count() == 0
 
 
+def test_a_text_is_made_plain_once(spark):
+    """For all phrases together, and with the kinds and plain forms of before."""
+    texts = ["extrait  K-bis", "ŒIBAN x", "Iban", "x IBAN, œuvre", "ǼIBAN y", "æ BIC", " - Relevé_d'identité: bancaire", "Pièce  d’identité", "urssaf\nIBAN 1", "", "  ", None, "a", "É", "𝒳 passeport ﬁ", "ééé, -- x.y  Z "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    once = df.select(labels.document_type(F.col("t")).alias("x"))
+    assert once._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+    bare = lambda t: "".join(labels_bare.get(c, c) for c in t.upper() if not "\u0300" <= c <= "\u036f")
+    labels_bare = dict(zip(ACCENTED, BASE, strict=True))
+    want = []
+    for t in texts:
+        padded = " " + re.sub("[^A-Z0-9]+", " ", bare(t or "")) + " "
+        kind = next((k for k, phrases in labels.DOCUMENT_PHRASES.items() if any(p in padded for p in phrases)), "")
+        wide = t
+        for a, b in analysis.LIGATURES:
+            wide = wide and wide.replace(a, b)
+        want.append((kind, None if t is None else re.sub(" +", " ", re.sub("[^A-Z0-9 ]", " ", bare(wide))).strip(" ")))
+    plain = analysis._plain(F.col("t"))
+    got = df.select("id", labels.document_type(F.col("t")), analysis._key(F.coalesce("t", F.lit("")), F.coalesce(plain, F.lit(""))), plain).orderBy("id").collect()
+    assert [(r[1], r[3]) for r in got] == want and all(r[1] == r[2] for r in got)
+
+
 def envelope(schema, fields, **validation):
     return json.dumps({"schema_name": schema, "result": {k: v if isinstance(v, dict) else {"value": v} for k, v in fields.items()}, "validation": validation})
 

@@ -8,8 +8,8 @@ without a whole or a number keeps its words to itself.
 Nothing of a whole is gathered in one place. Known words are rows (whole, word, first part), aggregated before their
 shuffle; each part's own words meet them, and the first names, in equi-joins whose keys hold the word and a salt, so that
 a whole with a third of all parts is met word by word in `SALTS` places each. Only parts of wholes that know a word take
-part. A part gets the words that it holds, no others, so its set is bounded by its text. What was found is a table written
-in the shared folder, and read twice.
+part. A part gets the words that it holds, no others, so its set is bounded by its text. What was found, what is known and
+what is held are tables written in the shared folder, and read again.
 
 Null and empty texts have no detection and stay as they are; rows that repeat have their detections repeated; an empty
 table gives no rows; further columns, whatever their names, are ignored.
@@ -43,9 +43,13 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
-def _with_words(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
-    """`rows` with the set of the words that `own` (g, p, h, w) has for each, null without any."""
-    sets = own.groupBy(*(F.col(c).alias(f"{c}_") for c in "gph")).agg(F.collect_set("w").alias(name))
+def _sets(own: DataFrame, name: str) -> DataFrame:
+    """The set of the words that `own` (g, p, h, w) has for each row."""
+    return own.groupBy(*(F.col(c).alias(f"{c}_") for c in "gph")).agg(F.collect_set("w").alias(name))
+
+
+def _with_words(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """`rows` with their set, null without any."""
     same = [rows[c].eqNullSafe(sets[f"{c}_"]) for c in "gph"]
     return rows.join(sets, same, "left").drop("g_", "p_", "h_")
 
@@ -53,8 +57,8 @@ def _with_words(rows: DataFrame, own: DataFrame, name: str) -> DataFrame:
 def _named(rows: DataFrame, first_names: DataFrame) -> DataFrame:
     """`rows` with `names`, the first names among each one's capitalised words."""
     called = _salted(first_names.select(_folded(first_names[first_names.columns[0]].cast("string")).alias("w")).where("w <> ''").distinct())
-    words = F.flatten(F.transform(F.regexp_extract_all("t", F.lit(pii.CAPITALISED), F.lit(0)), lambda w: F.split(_folded(w), "-")))
-    return _with_words(rows, rows.select("g", "p", "h", F.expr(_SALT), F.explode(F.array_distinct(words)).alias("w")).join(called, ["w", "salt"]), "names")
+    words = F.split(_folded(F.array_join(F.regexp_extract_all("t", F.lit(pii.CAPITALISED), F.lit(0)), "-")), "-")
+    return _with_words(rows, _sets(rows.select("g", "p", "h", F.expr(_SALT), F.explode(F.array_distinct(words)).alias("w")).join(called, ["w", "salt"]), "names"))
 
 
 def _shown(rows: DataFrame, header: int) -> DataFrame:
@@ -75,14 +79,15 @@ def _shown(rows: DataFrame, header: int) -> DataFrame:
 
 
 def _told(found: DataFrame) -> DataFrame:
-    """`found` with `words`, those that its whole knows by then and the text holds."""
+    """`found` with `words`, those that its whole knows by then and the text holds. What is known and what is held are tables of
+    their own: where they are small, Spark knows it beforehand, and the texts aren't shuffled to meet them."""
     known = found.where("g IS NOT NULL AND p IS NOT NULL").select("g", "p", F.explode("known").alias("w")).groupBy("g", "w").agg(F.min("p").alias("since"))
-    known = known.withColumn("k", F.regexp_extract("w", "^[a-z]+(?:['’-][a-z]+)?", 0))
+    known = stored(known.withColumn("k", F.regexp_extract("w", "^[a-z]+(?:['’-][a-z]+)?", 0)), "known")
     low = _folded(F.col("t"))
     runs = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w.rlike("^[a-z]+$"))
     twos = F.regexp_extract_all(low, F.lit("(?<![a-z0-9])(?=([a-z]+['’-][a-z]+))"), F.lit(1))
     held = found.join(known.select("g").distinct(), "g", "left_semi").select("g", "p", "h", F.expr(_SALT), F.explode(F.array_distinct(F.concat(runs, twos))).alias("k"))
-    return _with_words(found, held.join(_salted(known), ["g", "k", "salt"]).where("since <= p").select("g", "p", "h", "w"), "words")
+    return _with_words(found, stored(_sets(held.join(_salted(known), ["g", "k", "salt"]).where("since <= p").select("g", "p", "h", "w"), "words"), "held"))
 
 
 def detected(parts: DataFrame, group: str, part: str, text: str, first_names: DataFrame | None = None, header: int = HEADER) -> DataFrame:
@@ -108,7 +113,9 @@ def detected(parts: DataFrame, group: str, part: str, text: str, first_names: Da
                 masked.append(pii.mask(t, taken.spans) if taken.spans else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([*_PLACE, ("context", pa.string())]))), pa.array(masked, pa.string())], names=[group, part, "detections", "masked"])
 
-    own = told.select("g", "p", "t", "spans", "known", "words")
+    # Only texts with something in them go to Python.
+    own, plain = told.select("g", "p", "t", "spans", "known", "words"), F.expr("words IS NULL AND size(spans) = 0")
     fields = [T.StructField(n, own.schema[c].dataType) for n, c in ((group, "g"), (part, "p"))]
     more = T.StructType.fromDDL("detections array<struct<type: string, start: int, end: int, context: string>>, masked string").fields
-    return own.mapInArrow(over, T.StructType([*fields, *more]))
+    rest = own.where(plain).select(F.col("g").alias(group), F.col("p").alias(part), F.array().cast(more[0].dataType).alias("detections"), F.col("t").alias("masked"))
+    return own.where(~plain).mapInArrow(over, T.StructType([*fields, *more])).unionAll(rest)

@@ -92,3 +92,29 @@ def test_all_lines_of_all_documents(spark, sf_dir):
     assert got and len(got) == sum(bool(spans) for spans, _ in want.values())
     by_place = {(i, n): v for (i, n, _), v in want.items()}
     assert all([(d.type, d.start, d.end) for d in r.detections] == by_place[r.doc_id, r.line][0] for r in got)
+
+
+def test_texts_meet_small_tables_unshuffled(spark, sf_dir):
+    """Few words are known: no text is shuffled or sorted for them, and only texts with something in them go to Python."""
+    plan = catalogue.QUERIES["pii_06_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert plan.count("MapInArrow") == 1 and "Filter (isnotnull(words" in plan
+
+
+def test_what_is_skipped_shows_nothing():
+    """Labels, titles and sites in any case, without accents, and with signs that count as other letters: what the searches themselves find."""
+    found = lambda t: {(k, t[a:b]) for k, a, b in pii.shown(t, (), False).spans}
+    for label in pii.LABELS:
+        for spelt in (label, label.upper(), label.capitalize(), label.replace("é", "e"), label.replace("s", "ſ"), label.upper().replace("I", "İ"), label.replace("i", "ı"), label.replace(" par", "e par")):
+            assert found(f"le {spelt} : Ada") == ({("identite", "Ada")} if pii._LABELLED.search(f"le {spelt} : Ada") else set())
+        assert found(f"le {label.upper()} Ada") == {("identite", "Ada")}
+    for title in pii.TITLES:
+        assert found(f"à {title}  Ada") == {("identite", "Ada")}
+    for site in pii.PROFILES:
+        assert found(f"voir WWW.{site.upper()}/ada") == {("lien", f"WWW.{site.upper()}/ada")}
+    for t in ("x +33 6 12 34 56 78", "le 1er mai 2012", "12 €", "ada@x.org", "ada(AT)x.org", "12 rue Ada", "x.com/", "ada MARTINET Bo", "Ada MARTINET"):
+        want = pii.Taken()
+        for kind, stretches in (*pii.KINDS, ("identite", lambda r: pii._identity(r, (), False))):
+            for a, b in stretches(pii.read(t)):
+                want.put(kind, a, b)
+        assert pii.shown(t, (), False).spans == want.spans

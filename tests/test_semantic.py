@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talweg.functions import scores
 from talweg.operators import matching, semantic
-from talweg.plans import catalogue
+from talweg.plans import catalogue, scoring
 from talweg.sources.tables import table
 
 
@@ -111,10 +112,10 @@ def odd_tables(spark, tmp_path_factory):
     """A folder of suppliers that are asked for, parts and vectors: some ids have no vector, one that is like nothing, or two."""
     d = str(tmp_path_factory.mktemp("odd"))
     names = ["small ring", "red ring", "small red ring", "hot bolt", "cold widget", "small red bolt"]
-    vectors = [(i * 50 if k else i, v) for k in (0, 1) for i, v in enumerate(ODD)] + [(150, [1.0, 2.0]), (150, None), (2, [4.0, 3.0]), (None, [1.0, 1.0])]
+    vectors = [(i * 50 if k else i, v) for k in (0, 1) for i, v in enumerate(ODD)] + [(i * 50, [float(i), 20.0]) for i in range(14, 60)] + [(150, [1.0, 2.0]), (150, None), (2, [4.0, 3.0]), (None, [1.0, 1.0])]
     for name, rows, schema in (
-        ("supplier", [(i * 25, i % 5) for i in range(36)] + [(550, 1), (100, 0)], "s_suppkey long, s_nationkey int"),
-        ("part", [(i, names[i % 6], i % 13, ("PROMO", "ECONOMY")[i % 2], 900.0 + 20 * i, f"Brand#{i % 12}") for i in range(18)], "p_partkey long, p_name string, p_size int, p_type string, p_retailprice double, p_brand string"),
+        ("supplier", [(i * 25, i % 5) for i in range(122)] + [(550, 1), (100, 0)], "s_suppkey long, s_nationkey int"),
+        ("part", [(i, names[i % 6], i % 13, ("PROMO", "ECONOMY")[i % 2], 900.0 + 20 * i, f"Brand#{i % 2 + 1}") for i in range(18)], "p_partkey long, p_name string, p_size int, p_type string, p_retailprice double, p_brand string"),
         ("embeddings", vectors, "vec_id long, embedding array<double>"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
@@ -142,3 +143,23 @@ def test_relevance_of_odd_vectors(spark, odd_tables):
             points = [math.floor(max(0.0, min(1.0, x)) * k * 100 + 0.5) / 100 for k in (20, 10)] if held else [1.0, 1.0]
             want[n.s_suppkey, p.p_partkey, "semantic" if held else "local", held[0] if held else None, *points] += 1
     assert Counter(map(tuple, query.collect())) == want and len({w[2:4] for w in want}) > 5
+
+
+def test_semantic_mode_of_odd_vectors(spark, odd_tables, monkeypatch):
+    """As every pair scored for itself; the local rules are met once for needs that ask the same, whatever their vectors."""
+    need, part = scoring._engine(spark, odd_tables)
+    embeddings = lambda key, name: spark.read.parquet(f"{odd_tables}/embeddings.parquet").toDF(key, name)
+    need, part = need.join(embeddings("s_suppkey", "asked"), "s_suppkey", "left"), part.join(embeddings("p_partkey", "own"), "p_partkey", "left")
+    pairs = matching.scored(part.crossJoin(need))
+    rows = matching.by_relevance(pairs, scores.cosine(F.col("asked"), F.col("own"))).withColumn("band", scores.band_a(F.col("total"))).collect()
+    scored, counted = matching.scored, []
+    monkeypatch.setattr(matching, "scored", lambda pairs: counted.append(pairs.count()) or scored(pairs))
+    query = catalogue.QUERIES["sco_09_semantic_mode"](spark, odd_tables)
+    assert sum(counted) < len(rows) / 4
+    shown = [c for c in query.columns if c != "rank"]
+    got = query.collect()
+    assert Counter(tuple(r[c] for c in shown) for r in got) == Counter(tuple(r[c] for c in shown) for r in rows)
+    for key in {r.s_suppkey for r in rows}:
+        best = sorted((-r.total, r.p_partkey) for r in rows if r.s_suppkey == key and r.total >= 80)
+        assert sorted((r["rank"], -r.total, r.p_partkey) for r in got if r.s_suppkey == key and r["rank"]) == [(i + 1, *x) for i, x in enumerate(best)]
+    assert {r.source for r in got if r["rank"]} == {r.source for r in got} == {"local", "semantic"}
